@@ -43,8 +43,7 @@ def asof_bucket(left, right):
     with duckdb.connect(config={"threads": 1, "memory_limit": "500MB"}) as con:
         con.register("o", left)
         con.register("v", right)
-        found = con.execute(f"select order_id, customer_key from ({_ASOF}) where customer_key is not null and (place = {BASELINE} or ends is null or ends > place)")
-        out = found.to_arrow_table()
+        out = con.sql(f"select order_id, customer_key from ({_ASOF}) where customer_key is not null and (place = {BASELINE} or ends is null or ends > place)").to_arrow_table()
     return out.cast(pa.schema([("order_id", pa.int64()), ("customer_key", pa.string())]))
 
 

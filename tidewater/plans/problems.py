@@ -157,7 +157,7 @@ def _checked_sql(source: str) -> str:
         missing = " or ".join(f"not list_contains(json_keys(j), '{n}')" for n in names)
         wrong = " or ".join(f"json_type(j, '$.{n}') <> 'VARCHAR' or {_bad(f'json_extract_string(j, {chr(39)}$.{n}{chr(39)})', 'string')}" for n in names)
         return f"""select record_id, object_key, raw_record, j, case when j is null then 'syntax' when {missing} then 'columns' when {wrong} then 'value' end reason
-          from (select *, case when json_valid(raw_record) and not regexp_matches(raw_record, ',\s*}}\s*$') then case when json_type(raw_record) = 'OBJECT' then raw_record end end j from vendor_records where source = '{source}')"""
+          from (select *, case when json_valid(raw_record) and not regexp_matches(raw_record, ',[[:space:]]*}}[[:space:]]*$') then case when json_type(raw_record) = 'OBJECT' then raw_record end end j from vendor_records where source = '{source}')"""
     wrong = " or ".join(_bad(f"f[{k}]", kind) for k, (_, kind) in enumerate(fields, 1))
     return f"""select record_id, object_key, raw_record, f, case when f is null then 'syntax' when len(f) <> {len(fields)} then 'columns' when {wrong} then 'value' end reason
       from (select *, {_delimited(d)} f from vendor_records where source = '{source}')"""

@@ -45,7 +45,7 @@ class Files:
     file system the cluster knows will do."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
         self.conf = spark._jsc.hadoopConfiguration()
         self.fs = self.path(root).getFileSystem(self.conf)
 
@@ -83,12 +83,15 @@ class Files:
         return True
 
     def replace_text(self, p: str, text: str) -> None:
-        """Write beside ``p`` and rename over it, so a reader sees old or new text, never half."""
+        """Write beside ``p`` and rename over it in one step, so a reader sees
+        the old or the new text, never half of one and never none."""
         tmp = f"{p}.{uuid.uuid4().hex}.tmp"
         self.create_text(tmp, text)
-        if self.exists(p):
-            self.fs.delete(self.path(p), False)
-        self.fs.rename(self.path(tmp), self.path(p))
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(self.path(tmp), self.path(p), options)
 
     def delete(self, p: str) -> None:
         if self.exists(p):

@@ -83,11 +83,15 @@ def build(changed: DataFrame, satellite: Satellite) -> DataFrame:
 
 def appended(existing: DataFrame, changed: DataFrame, satellite: Satellite) -> DataFrame:
     """Rows to insert into a satellite after ``changed`` (all changes so far)
-    grew: those it lacks. A late change may need a row that was no change
-    before; rows that stopped being changes stay and the view skips them."""
-    have = existing.select(F.col("customer_id").alias("__c"), F.col("place").alias("__p"), F.col("hash_diff").alias("__h"))
-    same = (F.col("customer_id") == F.col("__c")) & (F.col("place") == F.col("__p")) & (F.col("hash_diff") == F.col("__h"))
-    return build(changed, satellite).drop("next_place").join(have, same, "left_anti")
+    grew: the changes it lacks, and, where a later message now counts at a place
+    the satellite has, that message, whether a change or not. A late change may
+    need a row that was no change before; rows that stopped being changes stay
+    and the view passes them over."""
+    have = existing.select(F.col("customer_id").alias("__c"), F.col("place").alias("__p"), F.col("hash_diff").alias("__h"), F.col("kafka_offset").alias("__o"))
+    place = (F.col("customer_id") == F.col("__c")) & (F.col("place") == F.col("__p"))
+    same = place & (F.col("hash_diff") == F.col("__h")) & (F.col("kafka_offset") == F.col("__o"))
+    corrected = staged(changed, satellite).join(have, place, "left_semi")
+    return build(changed, satellite).drop("next_place").unionByName(corrected).distinct().join(have, same, "left_anti")
 
 
 def versions(satellite_rows: DataFrame) -> DataFrame:

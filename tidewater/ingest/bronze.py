@@ -62,7 +62,7 @@ def read_batch(spark: SparkSession, store: FolderStore, spec: Spec, m: Manifest)
         rows = good_rows(with_reasons(read_vendor(spark, paths, contract), contract), contract, spec)
     day = datetime.date.fromisoformat(m.logical_date)
     at = datetime.datetime.fromisoformat(m.ingested_at)
-    return rows.select(*spec.business.fieldNames(), F.lit(m.batch_id).alias("_batch_id"), F.lit(day).alias("_batch_date"), "_source_object", position.cast("bigint").alias("_source_object_row_position"), F.lit(at).cast("timestamp").alias("_ingested_at"))
+    return rows.select(*spec.business.fieldNames(), F.lit(m.batch_id).alias("_batch_id"), F.lit(day).alias("_batch_date"), "_source_object", F.col("_source_object_row_position").cast("bigint").alias("_source_object_row_position"), F.lit(at).cast("timestamp").alias("_ingested_at"))
 
 
 def _positioned(spark: SparkSession, paths: list[str], spec: Spec) -> DataFrame:

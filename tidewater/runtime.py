@@ -55,6 +55,9 @@ class Files:
     def exists(self, p: str) -> bool:
         return self.fs.exists(self.path(p))
 
+    def size(self, p: str) -> int:
+        return self.fs.getFileStatus(self.path(p)).getLen()
+
     def list(self, p: str) -> list[tuple[str, bool, int]]:
         """(name, is_dir, bytes) of the children; empty if ``p`` is missing."""
         if not self.exists(p):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rejects import Contract, Field, _Number, _refuse
+from ..runtime import Files
 from . import xlsx
 from .specs import Spec
 
@@ -192,7 +193,10 @@ def read_vendor(spark: SparkSession, paths: list[str], contract: Contract) -> Da
                 for lo in range(0, len(rows), 5_000):
                     yield pd.DataFrame(rows[lo : lo + 5_000], columns=["_source_object", "_source_object_row_position", "fields", "row_error", "file_error"]).astype({"_source_object_row_position": "Int64"})
 
-    return files.mapInPandas(parse, _PARSED)
+    out = files.mapInPandas(parse, _PARSED)
+    store = Files(spark, paths[0])  # Spark passes over empty files, so they are named here
+    empty = [(p, None, None, None, "empty file") for p in paths if store.size(p) == 0]
+    return out.unionByName(spark.createDataFrame(empty, _PARSED)) if empty else out
 
 
 def with_reasons(rows: DataFrame, contract: Contract) -> DataFrame:

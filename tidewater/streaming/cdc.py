@@ -17,6 +17,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.specs import CAPTURED, LEDGER, SPECS, TOPIC
@@ -31,7 +32,7 @@ class InvalidMessages(ValueError):
     """A batch holds messages that break the contract."""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null stays null."""
     return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")

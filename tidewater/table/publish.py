@@ -63,7 +63,7 @@ class ServingStore:
             out.repartition("__month").sortWithinPartitions("__month", *spec.sort).write.partitionBy("__month").parquet(version)
         else:
             out.sortWithinPartitions(*spec.sort).write.parquet(version)
-        served = self.spark.read.schema(df.schema).parquet(version)
+        served = self.spark.read.schema(df.schema).parquet(version).select(*df.columns)
         want, got = checksum(df), checksum(served)
         bad = F.lit(False)
         for c in spec.not_negative:
@@ -79,7 +79,7 @@ class ServingStore:
         now = self.current(name)
         if now is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(now["version"])
+        return self.spark.read.schema(schema).parquet(now["version"]).select(*schema.fieldNames())
 
     def prune(self, name: str) -> int:
         """Delete versions the pointer doesn't name (after readers are done)."""

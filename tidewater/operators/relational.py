@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import next_row, quantile_cuts
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row of each key that comes first by ``order`` (descending columns, a
@@ -40,21 +42,30 @@ def boundary_winners(events: DataFrame, key: str) -> DataFrame:
     return latest_by(marked, [key, "is_snapshot_baseline", "__lsn"], [F.col("kafka_offset").desc(), F.col("event_id").desc()]).drop("__lsn")
 
 
-def scd2_versions(events: DataFrame, key: str, version_key: str) -> DataFrame:
+#: Places before every LSN: the baseline, and streamed changes without LSN.
+_BASELINE, _UNKNOWN = -(2**63), -(2**63) + 1
+
+
+def scd2_versions(events: DataFrame, key: str, version_key: str, cuts: list[int] | None = None) -> DataFrame:
     """Versions with half-open LSN intervals: the baseline first, then by LSN.
-    Deletes close a version and open none; null start marks the baseline."""
-    w = Window.partitionBy(key).orderBy(F.when(F.col("is_snapshot_baseline"), 0).otherwise(1), F.col("source_lsn").asc_nulls_first(), "kafka_offset", "event_id")
+    Deletes close a version and open none; null start marks the baseline. Each
+    version's successor is found in LSN segments (quantiles of the events unless
+    ``cuts`` are given), so a hot key is spread over tasks."""
+    if cuts is None:
+        cuts = quantile_cuts(events.filter(F.col("source_lsn").isNotNull()).select("source_lsn"), "source_lsn", events.count())
+    place = F.when(F.col("is_snapshot_baseline"), F.lit(_BASELINE)).otherwise(F.coalesce(F.col("source_lsn"), F.lit(_UNKNOWN)))
+    winners = boundary_winners(events, key).withColumn("__place", place)
     out = (
-        boundary_winners(events, key)
-        .withColumn("valid_to_lsn", F.lead("source_lsn").over(w))
-        .withColumn("closed_at_source_timestamp", F.lead("source_timestamp").over(w))
-        .withColumn("is_current", F.lead("event_id").over(w).isNull())
+        next_row(winners, key, "__place", ["source_lsn", "source_timestamp", "event_id"], cuts, "__next")
+        .withColumn("valid_to_lsn", F.col("__next.source_lsn"))
+        .withColumn("closed_at_source_timestamp", F.col("__next.source_timestamp"))
+        .withColumn("is_current", F.col("__next").isNull())
         .filter(F.col("operation") != "d")
         .withColumn("valid_from_lsn", F.when(~F.col("is_snapshot_baseline"), F.col("source_lsn")))
         .withColumn(version_key, F.concat(F.col(key).cast("string"), F.lit("_"), F.col("event_id").cast("string")))
         .withColumnRenamed("source_timestamp", "opened_at_source_timestamp")
     )
-    return out.drop("source_lsn")
+    return out.drop("source_lsn", "__next", "__place")
 
 
 def lifecycles(events: DataFrame, key: str) -> DataFrame:

@@ -75,3 +75,17 @@ def changes(rows: DataFrame, key: str, position: str, state: str, cuts: list[int
         .withColumn("next_position", F.coalesce("__next", "__later"))
         .drop("__seg", "__first", "__next", "__k", "__g", "__opens", "__later")
     )
+
+
+def next_row(rows: DataFrame, key: str, position: str, wanted: list[str], cuts: list[int], name: str = "next") -> DataFrame:
+    """``rows`` with a struct ``name`` of the ``wanted`` columns of the key's next
+    row by ``position`` (null for the last): lead() that no hot key can overload.
+    Needs one row per (key, position)."""
+    rows = rows.withColumn("__seg", segment(F.col(position), cuts))
+    inner = Window.partitionBy(key, "__seg").orderBy(position)
+    outer = Window.partitionBy(key).orderBy("__seg")
+    inside = rows.withColumn("__inside", F.lead(F.struct(*wanted)).over(inner))
+    firsts = rows.groupBy(key, "__seg").agg(F.min_by(F.struct(*wanted), position).alias("__first"))
+    firsts = firsts.withColumn("__later", F.lead("__first").over(outer)).select(F.col(key).alias("__k"), F.col("__seg").alias("__g"), "__later")
+    joined = inside.join(firsts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__seg") == F.col("__g")))
+    return joined.withColumn(name, F.coalesce("__inside", "__later")).drop("__seg", "__inside", "__later", "__k", "__g")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.segments import next_row, quantile_cuts
 from ..sources.specs import CAPTURED, SPECS, TOPIC
 from .models import realized
 
@@ -137,10 +138,16 @@ def orders_match_payments(m: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def versions_do_not_overlap(dim: DataFrame) -> DataFrame:
-    w = Window.partitionBy("customer_id").orderBy(F.when(F.col("is_snapshot_baseline"), 0).otherwise(1), F.col("valid_from_lsn").asc_nulls_first(), "customer_key")
-    v = dim.withColumn("pos", F.row_number().over(w)).withColumn("next_from", F.lead("valid_from_lsn").over(w))
+    """Versions that end after the customer's next one starts, end before they
+    start, lack a start, or are a second baseline."""
     base, start, end = F.col("is_snapshot_baseline"), F.col("valid_from_lsn"), F.col("valid_to_lsn")
-    return fails(v, (base & ((F.col("pos") != 1) | start.isNotNull())) | (~base & start.isNull()) | F.coalesce(end <= start, F.lit(False)) | F.coalesce(F.col("next_from") < end, F.lit(False)))
+    place = F.when(base, F.lit(-(2**63))).otherwise(F.coalesce(start, F.lit(-(2**63) + 1))).cast("bigint")
+    same = dim.groupBy("customer_id", place.alias("place")).agg(F.count("*").alias("n"), F.max(F.coalesce(end, F.lit(2**63 - 1))).alias("ends"), F.max(F.struct("customer_key")).alias("v"))
+    cuts = quantile_cuts(dim.filter(start.isNotNull()).select("valid_from_lsn"), "valid_from_lsn", dim.count())
+    chain = next_row(same, "customer_id", "place", ["place"], cuts, "after")
+    crossing = chain.filter((F.col("n") > 1) | (F.col("after.place") < F.col("ends"))).select("customer_id", F.col("v.customer_key").alias("customer_key"))
+    alone = fails(dim, (base & start.isNotNull()) | (~base & start.isNull()) | F.coalesce(end <= start, F.lit(False))).select("customer_id", "customer_key")
+    return crossing.unionByName(alone)
 
 
 def one_current_version(m: Mapping[str, DataFrame]) -> DataFrame:

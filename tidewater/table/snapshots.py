@@ -125,7 +125,9 @@ class SnapshotTable:
             df.write.parquet(f"{self.root}/{folder}")
             return {"": [folder]}
         key = F.coalesce(F.col(by).cast("string"), F.lit(NULL_PARTITION))
-        df.withColumn(_DIR, key).write.partitionBy(_DIR).parquet(f"{self.root}/{folder}")
+        # without this every shuffle partition would write a file into every
+        # table partition; AQE splits the large ones and joins the small
+        df.withColumn(_DIR, key).hint("rebalance", F.col(_DIR)).write.partitionBy(_DIR).parquet(f"{self.root}/{folder}")
         found = {}
         for name, is_dir, _ in self.files_.list(f"{self.root}/{folder}"):
             if is_dir and name.startswith(_DIR + "="):

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import quantile_cuts, segment
+from .segments import SEGMENT_ROWS, quantile_cuts, segment
 
 BASELINE = -(2**63)
 BUCKET_ROWS = 200_000
@@ -69,9 +69,8 @@ def resolved_versions(versions: DataFrame) -> DataFrame:
 def in_force(orders: DataFrame, versions: DataFrame, group_rows: int = 50_000, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(order_id, customer_key) of every order that has a version in force."""
     spark = orders.sparkSession
-    places = versions.select(F.col("valid_from_lsn").cast("long").alias("p")).union(orders.select(F.col("lifecycle_start_lsn").cast("long"))).filter("p is not null")
-    total = versions.count() + orders.count()
-    cuts = quantile_cuts(places, "p", total)
+    places = versions.select(F.col("valid_from_lsn").cast("long").alias("p")).union(orders.select(F.col("lifecycle_start_lsn").cast("long")))
+    cuts = quantile_cuts(places, "p")
     o = resolved_orders(orders).withColumn("seg", segment(F.col("place"), cuts))
     v = resolved_versions(versions).withColumn("seg", segment(F.col("starts"), cuts))
 
@@ -90,7 +89,8 @@ def in_force(orders: DataFrame, versions: DataFrame, group_rows: int = 50_000, b
     carried = groups.filter("carry is not null").select("customer_id", "carry.starts", "carry.customer_key", "carry.ends", "seg", "salts")
     v = own.select(*carried.columns).unionByName(carried).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_rows)
+    # buckets are at least as many as segments' worth of rows and shuffle tasks
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (len(cuts) + 1) * SEGMENT_ROWS // bucket_rows)
     bucket = F.pmod(F.xxhash64("customer_id", "seg", "salt"), F.lit(n)).cast("int").alias("bucket")
     left = o.select("order_id", "customer_id", "place", "seg", "salt", bucket)
     right = v.select("customer_id", "starts", "customer_key", "ends", "seg", "salt", bucket)

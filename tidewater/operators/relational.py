@@ -52,7 +52,7 @@ def scd2_versions(events: DataFrame, key: str, version_key: str, cuts: list[int]
     version's successor is found in LSN segments (quantiles of the events unless
     ``cuts`` are given), so a hot key is spread over tasks."""
     if cuts is None:
-        cuts = quantile_cuts(events.filter(F.col("source_lsn").isNotNull()).select("source_lsn"), "source_lsn", events.count())
+        cuts = quantile_cuts(events.select("source_lsn"), "source_lsn")
     place = F.when(F.col("is_snapshot_baseline"), F.lit(_BASELINE)).otherwise(F.coalesce(F.col("source_lsn"), F.lit(_UNKNOWN)))
     winners = boundary_winners(events, key).withColumn("__place", place)
     out = (

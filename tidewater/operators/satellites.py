@@ -76,8 +76,7 @@ def staged(changed: DataFrame, satellite: Satellite) -> DataFrame:
 def build(changed: DataFrame, satellite: Satellite) -> DataFrame:
     """The satellite's rows, with ``next_place`` as the view computes it."""
     rows = staged(changed, satellite)
-    streamed = changed.filter(F.col("valid_from_lsn").isNotNull()).select("valid_from_lsn")
-    cuts = quantile_cuts(streamed, "valid_from_lsn", changed.count())
+    cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
     return changes(rows, "customer_id", "place", "hash_diff", cuts).withColumnRenamed("next_position", "next_place")
 
 
@@ -111,5 +110,5 @@ def satellite_view(satellite_rows: DataFrame, satellite: Satellite) -> DataFrame
     attributes = satellite.attributes
     best = satellite_rows.groupBy("customer_id", "place").agg(F.max(F.struct("kafka_offset", "hash_diff", *attributes)).alias("b"))
     rows = best.select("customer_id", "place", "b.hash_diff", "b.kafka_offset", *[f"b.{a}" for a in attributes])
-    cuts = quantile_cuts(satellite_rows.filter(F.col("place") != BASELINE), "place", satellite_rows.count())
+    cuts = quantile_cuts(satellite_rows.select(F.nullif("place", F.lit(BASELINE)).alias("place")), "place")
     return versions(changes(rows, "customer_id", "place", "hash_diff", cuts).withColumnRenamed("next_position", "next_place"))

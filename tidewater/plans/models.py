@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators.pit_asof import in_force
+from ..runtime import cut
 from ..sources.specs import CAPTURED, SPECS, TOPIC
 from ..streaming.boundary import boundary_filter
 
@@ -120,7 +121,8 @@ def fact_orders(current, events, customers):
     """Current attributes; the customer version is the one in force when the
     order's current lifecycle started, and none if there was none."""
     starts = R.lifecycles(events, "order_id").select("order_id", "lifecycle_start_lsn", "is_snapshot_baseline")
-    owned = current.join(starts, "order_id", "left")
+    owned = cut(current.join(starts, "order_id", "left"), "owned")  # read several times
+    customers = cut(customers.select("customer_key", "customer_id", "valid_from_lsn", "valid_to_lsn", "is_snapshot_baseline", "kafka_offset"), "versions")
     keys = in_force(owned.select("order_id", "customer_id", "lifecycle_start_lsn", "is_snapshot_baseline", "updated_at"), customers)
     return current.join(keys, "order_id", "left").select("order_id", "customer_key", "customer_id", F.col("status").alias("order_status"), "currency", "shipping_cost", "order_total", "created_at", "updated_at")
 

@@ -125,45 +125,39 @@ def value_error(text: Column, field: Field, marked: bool) -> Column:
     return F.coalesce(F.when(blank, F.lit(field.required)).otherwise(wrong), F.lit(True))
 
 
-def _split(records: DataFrame, contract: Contract, record: str) -> tuple[Column, Column, Column]:
-    """(fields, syntax error, columns error) of one contract's records."""
-    if contract.format == "json":
-        values = F.col("__json")
-        missing = F.exists(values, lambda v: v.isNull())
-    else:
-        values = delimited_fields(F.col(record), contract.delimiter)
-        missing = F.size(values) != len(contract.fields)
-    return values, values.isNull(), missing
-
-
-def checked(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
-    """``records`` with __values array<string> and __errors array<string>."""
+def with_errors(records: DataFrame, contract: Contract, values: str, errors: str, record: Column) -> DataFrame:
+    """``records`` with the contract's field texts in the column ``values`` and
+    the array of its broken rules in ``errors``."""
     marked = contract.format == "json"
-    if marked:
-        records = records.withColumn("__json", json_fields(tuple(f.name for f in contract.fields))(F.col(record)))
-    values, syntax, columns = _split(records, contract, record)
-    records = records.withColumn("__values", values)
-    if not marked:
-        syntax, columns = F.col("__values").isNull(), F.size("__values") != len(contract.fields)
+    fields = json_fields(tuple(f.name for f in contract.fields))(record) if marked else delimited_fields(record, contract.delimiter)
+    records = records.withColumn(values, fields)
+    v = F.col(values)
+    syntax = v.isNull()
+    columns = F.exists(v, lambda x: x.isNull()) if marked else F.size(v) != len(contract.fields)
     wrong = F.lit(False)
     for k, f in enumerate(contract.fields):
-        wrong = wrong | value_error(F.get(F.col("__values"), F.lit(k)), f, marked)
-    errors = F.array_compact(F.array(F.when(syntax, "syntax"), F.when(~syntax & columns, "columns"), F.when(~syntax & ~columns & wrong, "value")))
-    return records.withColumn("__errors", errors).drop("__json")
+        wrong = wrong | value_error(F.get(v, F.lit(k)), f, marked)
+    found = F.array(F.when(syntax, "syntax"), F.when(~syntax & columns, "columns"), F.when(~syntax & ~columns & wrong, "value"))
+    return records.withColumn(errors, F.array_compact(found))
+
+
+def checked(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
+    """``records`` of one contract with __values array<string> and __errors array<string>."""
+    return with_errors(records, contract, "__values", "__errors", F.col(record))
 
 
 def rejected(records: DataFrame, table: list[Contract], record: str = "raw_record") -> DataFrame:
-    """All input columns of the bad records, with ``reason``."""
-    named = [c.source for c in table]
-    parts = []
-    for c in table:
-        bad = checked(records.filter(F.col("source") == c.source), c, record).filter(F.size("__errors") > 0)
-        parts.append(bad.withColumn("reason", F.element_at("__errors", 1)).drop("__errors", "__values"))
-    rest = records.filter(F.coalesce(~F.col("source").isin(named), F.lit(True))) if named else records
-    out = rest.withColumn("reason", F.when(F.col(record).isNull(), "syntax").otherwise("columns"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """All input columns of the bad records, with ``reason``; one scan for all
+    contracts, each of which sees only the records of its source."""
+    names = records.columns
+    errors = F.when(F.col(record).isNull(), F.array(F.lit("syntax")))
+    out = records
+    for k, c in enumerate(table):
+        own = F.col("source") == c.source
+        out = with_errors(out, c, f"__values{k}", f"__errors{k}", F.when(own, F.col(record)))
+        errors = errors.when(own, F.col(f"__errors{k}"))
+    errors = errors.otherwise(F.array(F.lit("columns")))  # of no known source
+    return out.withColumn("__errors", errors).filter(F.size("__errors") > 0).withColumn("reason", F.element_at("__errors", 1)).select(*names, "reason")
 
 
 def typed(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:

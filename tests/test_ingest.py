@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests import world
 from tidewater.ingest import archive, bronze, landing
 from tidewater.runtime import new_dir
-from tidewater.sources import readers, rest, xlsx
+from tidewater.sources import external, readers, rest, xlsx
 from tidewater.sources.specs import SPECS
 
 DAY = dt.date(2026, 9, 20)
@@ -136,6 +136,25 @@ def test_archive_rules(store):
         archive.Watermark(dt.datetime(2026, 1, 1), 1)
 
 
+def test_delete_coordinates(spark):
+    spec = SPECS["fx_rates"]
+    table = bronze.raw_table(spark, new_dir(spark, "raw"), spec)
+    rows = [(c, Decimal("1"), "b", DAY, o, k, None) for o in "xy" for k, c in enumerate(("USD", "GBP", "CHF"))]
+    table.append(spark.createDataFrame(rows, spec.schema))
+    places = spark.createDataFrame([("x", 0, 1), ("y", 2, 9), ("z", 0, 9)], "_source_object string, first long, last long")
+    assert bronze.delete_coordinates(table, DAY, places) == 3
+    assert sorted((r._source_object, r._source_object_row_position) for r in table.read().collect()) == [("x", 2), ("y", 0), ("y", 1)]
+
+
+def test_external_requests():
+    mark = archive.Watermark(dt.datetime(2026, 9, 20, tzinfo=dt.UTC), 7)
+    sql = external.increment_sql(SPECS["orders"], mark)
+    assert sql.startswith('select "order_id", "customer_id"') and sql.endswith("""where ("updated_at", "order_id") > (timestamptz '2026-09-20T00:00:00+00:00', 7)""")
+    assert "where" not in external.increment_sql(SPECS["orders"], None)
+    got = external.kafka_options("h:1", ["a", "b"])
+    assert got["subscribe"] == "a,b" and got["maxOffsetsPerTrigger"] == "500" and "maxOffsetsPerTrigger" not in external.kafka_options("h:1", ["a"], None)
+
+
 # -- REST ---------------------------------------------------------------------------
 
 

@@ -71,6 +71,7 @@ def test_expiry(spark, table):
     assert done["snapshots"] == [1, 3, 4] and len(done["folders"]) == 3
     assert table.read(2).first().k == 1 and table.read().first().k == 5
     assert {r.name for r in m.refs(table).collect()} == {"audit", "main"} and m.snapshots(table).count() == 3
+    assert {r.name: r.parent_id for r in m.ref_snapshots(table).collect()} == {"audit": 1, "main": 5}
     with pytest.raises(ValueError):
         m.expirable(table, older_than_days=1)
     with pytest.raises(RuntimeError, match="good"):

@@ -126,6 +126,18 @@ def load_with_retry(call: Callable[[], object], attempts: int = 3, **kw):
     return retrying(call, attempts, transient=lambda e: isinstance(e, CommitConflict), **kw)
 
 
+def delete_coordinates(table: SnapshotTable, day: datetime.date, places: DataFrame) -> int:
+    """Take the rows at the given (object, first, last position) ranges out of
+    one date, in one commit; returns how many. Parquet has no delete, so the
+    date is rewritten without them."""
+    rows = table.read(partitions=[day.isoformat()])
+    p = places.select(F.col("_source_object").alias("__o"), F.col("first").alias("__a"), F.col("last").alias("__b"))
+    hit = (F.col("_source_object") == F.col("__o")) & F.col("_source_object_row_position").between(F.col("__a"), F.col("__b"))
+    before, kept = rows.count(), rows.join(p, hit, "left_anti")
+    snap = table.overwrite(kept, [day.isoformat()])
+    return before - table.read(snap.id, [day.isoformat()]).count()
+
+
 def extract_snapshot(spark: SparkSession, source: DataFrame, store: FolderStore, table: str, day: datetime.date, full: bool = False, now: datetime.datetime | None = None) -> Manifest:
     """Archive the rows after the table's watermark (all, if ``full`` or if
     there is none) as Parquet objects, written by the executors. Objects,

@@ -47,6 +47,11 @@ def refs(table: SnapshotTable) -> DataFrame:
     return table.spark.createDataFrame(list(table.ref_map().items()), "name string, snapshot_id long")
 
 
+def ref_snapshots(table: SnapshotTable) -> DataFrame:
+    """References with the snapshot each one names."""
+    return refs(table).join(snapshots(table), "snapshot_id")
+
+
 def inventory(table: SnapshotTable, threshold_mb: int = 128) -> DataFrame:
     """Per partition: files, bytes, files below the threshold, and whether it is
     a candidate for compaction."""

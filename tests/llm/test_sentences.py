@@ -27,6 +27,8 @@ CASES = {
     "hindi": ("डॉ. राम ने कहा। क्या हुआ?", ["डॉ. राम ने कहा।", "क्या हुआ?"]),
     "arabic": ("قال د. سامي نعم. هل جربت؟ نعم.", ["قال د. سامي نعم.", "هل جربت؟", "نعم."]),
     "thai": ("ผมเปลี่ยนแล้ว แต่ร้อนครับ ทำไมเป็นแบบนี้คะ ดี", ["ผมเปลี่ยนแล้ว แต่ร้อนครับ", "ทำไมเป็นแบบนี้คะ", "ดี"]),
+    "emoticons": ("It reads the tray.. ^^ Next one :) Done", ["It reads the tray.. ^^", "Next one :)", "Done"]),
+    "small initials": ("The End.\n\nthat did it! j. k. rowe wrote it.", ["The End.", "that did it!", "j. k. rowe wrote it."]),
     "small": ("is it needed? does anyone know. the label reads no. 5 in it.", ["is it needed?", "does anyone know.", "the label reads no. 5 in it."]),
     "code span": ("Try `a. B? c` first. See http://x.y/z?p=1 now.", ["Try `a. B? c` first.", "See http://x.y/z?p=1 now."]),
     "wrapped": ("A line that\r\nis wrapped. Next\r\n\r\nBlock", ["A line that\r\nis wrapped.", "Next", "Block"]),

@@ -78,7 +78,7 @@ def language(code: str) -> list[tuple[bool, str, str]]:
     return rules
 
 
-#: In texts without capitals a small letter says nothing; these come first there.
+#: In blocks without capitals a small letter says nothing; these come first there.
 SMALL = [
     (KEEP, rf"(?:^|[\s(])\p{{Ll}}\.", r"\s+\p{Ll}\.\s"),
     (KEEP, rf"(?:^|[\s(])\p{{Ll}}\.\s\p{{Ll}}\.", r"\s+\p{Ll}{2}"),
@@ -89,7 +89,7 @@ SMALL = [
 
 FIRST = [
     (KEEP, r"", r"\s*[,;:，；：、]"),
-    (KEEP, r"", r"\s+[\p{Emoji_Presentation}☀-➿]"),
+    (KEEP, r"", r"\s+(?:[\p{Emoji_Presentation}☀-➿]|(?:\^\^|[:;]-?[)(DP])(?:\s|$))"),
     (KEEP, rf"(?i:(?<!\p{{L}}){_any(HESITATION)})\s?(?:\.{{2,}}|…+)", r"\s*"),
     (KEEP, r"(?:^|[\s(])\p{Lu}\.", r"\s+\p{Lu}"),
 ]
@@ -103,7 +103,7 @@ DEFAULT = [
     (BREAK, r"\p{Greek}[`\p{M}]*;", r"\s"),
     (BREAK, r"(?:ครับ|ค่ะ|คะ)", r"\s"),
     (BREAK, rf"[.!?…](?:[\s ]?{_CLOSE})*", r"\s"),
-    (BREAK, r"[\p{Emoji_Presentation}️]", r"\s+\p{Lu}"),
+    (BREAK, r"(?:[\p{Emoji_Presentation}️]|\^\^|[:;]-?[)(DP])", r"\s+\p{Lu}"),
     (KEEP, r"", r""),
 ]
 

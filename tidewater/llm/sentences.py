@@ -9,8 +9,8 @@ quotation, a bracket or inline code are not judged, and closing quotes and
 brackets stay with the sentence they close.
 
 Tables are chosen by the scripts found in the block, not by the language column,
-which may be missing or wrong. Where a text has no capitals at all, a table for
-such texts comes first.
+which may be missing or wrong. Where a block has no capitals at all, a table for
+such blocks comes first.
 
 Edge cases: null, empty and blank texts have no units; a fence that is never
 closed runs to the end of the text; text without an end mark runs to the end of
@@ -46,7 +46,7 @@ def _compiled():
         rf"|(?<![^\s(\[«„“「])\"(?=\S)[^\"]{{1,{n}}}(?<=\S)\"(?!\p{{Latin}})"
         rf"|\((?:[^()]|\([^()]{{0,{n}}}\)){{1,{n}}}\)|\[[^\[\]]{{1,{n}}}\]"
     )
-    marks = regex.compile(r"[.!?…。！？｡．।॥؟۔]+|(?<=\p{Greek}[`\p{M}]*);|(?:ครับ|ค่ะ|คะ)(?=\s)|[\p{Emoji_Presentation}️](?=\s+\p{Lu})")
+    marks = regex.compile(r"[.!?…。！？｡．।॥؟۔]+|(?<=\p{Greek}[`\p{M}]*);|(?:ครับ|ค่ะ|คะ)(?=\s)|(?:[\p{Emoji_Presentation}️]|(?<=\s)(?:\^\^|[:;]-?[)(DP]))(?=\s+\p{Lu})")
     scripts = [(name, regex.compile(pattern)) for name, (pattern, _) in R.SCRIPTS.items()]
     return line, fence, item, spans, marks, scripts
 
@@ -159,10 +159,9 @@ def units(text: str | None) -> list[tuple[int, int]]:
     if not text or not text.strip():
         return []
     found = blocks(text)
-    prose = [(s, e) for s, e, skip in found if skip >= 0]
-    small = not any(regex.search(r"\p{Lu}", text[s:e]) for s, e in prose)
     out = []
     for s, e, skip in found:
+        small = skip >= 0 and not regex.search(r"\p{Lu}", text[s:e])
         cuts = [s, *(_breaks(text, s, e, skip, small) if skip >= 0 else []), e]
         for a, b in zip(cuts, cuts[1:], strict=False):
             unit = text[a:b]

@@ -276,7 +276,8 @@ CASES = [
 
 
 def test_reject_cases(spark):
-    df = spark.createDataFrame([(i, s, r, "e") for i, (s, r, _) in enumerate(CASES)], "record_id int, source string, raw_record string, __other string")
+    df = spark.createDataFrame([(i, s, r, "e", "old") for i, (s, r, _) in enumerate(CASES)], "record_id int, source string, raw_record string, __v0 string, reason string")
+    assert rejects.rejected(df, [CSV, JSON]).select("__v0").distinct().collect() == [("e",)]
     got = {r.record_id: r.reason for r in rejects.rejected(df, [CSV, JSON]).select("record_id", "reason").collect()}
     assert got == {i: why for i, (_, _, why) in enumerate(CASES) if why}
     good = rejects.typed(df, CSV).collect()

@@ -125,6 +125,12 @@ def value_error(text: Column, field: Field, marked: bool) -> Column:
     return F.coalesce(F.when(blank, F.lit(field.required)).otherwise(wrong), F.lit(True))
 
 
+def once(record: Column) -> Column:
+    """``record`` as an expression that Catalyst doesn't duplicate: a filter on
+    the errors would else be pushed below the rules and evaluate them again."""
+    return F.when(F.monotonically_increasing_id() >= 0, record)
+
+
 def with_errors(records: DataFrame, contract: Contract, values: str, errors: str, record: Column) -> DataFrame:
     """``records`` with the contract's field texts in the column ``values`` and
     the array of its broken rules in ``errors``."""
@@ -141,34 +147,41 @@ def with_errors(records: DataFrame, contract: Contract, values: str, errors: str
     return records.withColumn(errors, F.array_compact(found))
 
 
-def checked(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
-    """``records`` of one contract with __values array<string> and __errors array<string>."""
-    return with_errors(records, contract, "__values", "__errors", F.col(record))
+def free_prefix(names: list[str]) -> str:
+    """A prefix that no input column has, for columns of our own."""
+    prefix = "__"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
 
 
 def rejected(records: DataFrame, table: list[Contract], record: str = "raw_record") -> DataFrame:
-    """All input columns of the bad records, with ``reason``; one scan for all
-    contracts, each of which sees only the records of its source."""
-    names = records.columns
+    """All input columns of the bad records, with ``reason`` (which replaces an
+    input column of that name); one scan for all contracts, each of which sees
+    only the records of its source."""
+    names, own = records.columns, free_prefix(records.columns)
     errors = F.when(F.col(record).isNull(), F.array(F.lit("syntax")))
     out = records
     for k, c in enumerate(table):
-        own = F.col("source") == c.source
-        out = with_errors(out, c, f"__values{k}", f"__errors{k}", F.when(own, F.col(record)))
-        errors = errors.when(own, F.col(f"__errors{k}"))
+        mine = F.col("source") == c.source
+        out = with_errors(out, c, f"{own}v{k}", f"{own}e{k}", once(F.when(mine, F.col(record))))
+        errors = errors.when(mine, F.col(f"{own}e{k}"))
     errors = errors.otherwise(F.array(F.lit("columns")))  # of no known source
-    return out.withColumn("__errors", errors).filter(F.size("__errors") > 0).withColumn("reason", F.element_at("__errors", 1)).select(*names, "reason")
+    bad = out.withColumn(f"{own}errors", errors).filter(F.size(f"{own}errors") > 0)
+    return bad.select(*[n for n in names if n != "reason"], F.element_at(f"{own}errors", 1).alias("reason"))
 
 
 def typed(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
     """The good records of one contract as typed columns, besides those of the
     input (a field named like an input column gets the prefix ``value_``)."""
     kinds = {"integer": "bigint", "decimal": "decimal(38,6)", "date": "date", "boolean": "boolean", "string": "string"}
-    good = checked(records.filter(F.col("source") == contract.source), contract, record).filter(F.size("__errors") == 0)
+    own = free_prefix(records.columns)
+    good = with_errors(records.filter(F.col("source") == contract.source), contract, f"{own}values", f"{own}errors", once(F.col(record)))
+    good = good.filter(F.size(f"{own}errors") == 0)
     marked = contract.format == "json"
     out = []
     for k, f in enumerate(contract.fields):
-        text = F.get(F.col("__values"), F.lit(k))
+        text = F.get(F.col(f"{own}values"), F.lit(k))
         text = F.substr(text, F.lit(2)) if marked else text
         value = text if f.type == "string" else text.try_cast(kinds[f.type])
         out.append(value.alias(f"value_{f.name}" if f.name in records.columns else f.name))

@@ -15,9 +15,11 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     unique one last, make it deterministic). Catalyst turns the filter on
     row_number into a group limit before the shuffle, so a hot key sends one
     row per map task."""
-    names = df.columns
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("__rank") == 1).select(*names)
+    names, rank = df.columns, "__rank"
+    while rank in names:
+        rank += "_"
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(rank) == 1).select(*names)
 
 
 def is_baseline(operation: str = "operation") -> Column:

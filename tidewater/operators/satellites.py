@@ -73,13 +73,26 @@ def staged(changed: DataFrame, satellite: Satellite) -> DataFrame:
     return rows.select("customer_id", "place", diff.alias("hash_diff"), F.col("best.kafka_offset").alias("kafka_offset"), *attributes)
 
 
-def build(changed: DataFrame, satellite: Satellite) -> DataFrame:
+def build(changed: DataFrame, satellite: Satellite, cuts: list[int] | None = None) -> DataFrame:
     """The satellite's rows, with ``next_place`` as the view computes it."""
     rows = staged(changed, satellite)
-    cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
+    if cuts is None:
+        cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
     return changes(rows, "customer_id", "place", "hash_diff", cuts).withColumnRenamed("next_position", "next_place")
 
 
+def change_rates(changed: DataFrame, attributes: list[str]) -> DataFrame:
+    """(attribute, versions): how many versions each attribute alone would have.
+    Attributes with like rates belong in one satellite."""
+    cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
+    out = None
+    for a in attributes:
+        kept = build(changed, Satellite(a, (a,)), cuts).filter(F.col("hash_diff") != DELETED)
+        n = kept.agg(F.count("*").alias("versions")).select(F.lit(a).alias("attribute"), "versions")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def appended(existing: DataFrame, changed: DataFrame, satellite: Satellite) -> DataFrame:
     """Rows to insert into a satellite after ``changed`` (all changes so far)
     grew: the changes it lacks, and, where a later message now counts at a place

@@ -51,6 +51,13 @@ def p4_place(spark, d):
     return _versions(spark, d, 1)
 
 
+_ATTRIBUTES = [a for s in satellites.CUSTOMER_SATELLITES for a in s.attributes]
+
+
+def p4_change_rates(spark, d):
+    return satellites.change_rates(table(spark, d, "int_cdc_customer_versions"), _ATTRIBUTES)
+
+
 def _roots(spark, d):
     nodes = hierarchy.latest(table(spark, d, "categories"))
     return nodes, hierarchy.roots(nodes)
@@ -89,7 +96,7 @@ def _typed(source):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p5_found, p5_paths, p5_descendants, p6_found, p6_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p6_found, p6_files)}
 QUERIES |= {f"p6_typed_{s.replace('-', '_')}": _typed(s) for s in ("supplier-prices", "partner-products", "historical-orders", "supplier-stock")}
 
 _MESSAGES = "select *, coalesce(sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset), lower(trim(event_id))) mid from postgres_cdc_events"
@@ -187,6 +194,7 @@ union all select o.order_id, v.customer_key from o join v on o.cid = v.customer_
     "p3_rows": f"select source_table, entity_id, case when operation <> 'r' then source_lsn end source_lsn, md5(after_json) after_md5 from ({_RANKED}) where rn = 1 and operation <> 'd'",
     "p4_found": _satellite_sql(["segment", "customer_status"]).format(""),
     "p4_place": _satellite_sql(["region", "city"]).format(", region, city"),
+    "p4_change_rates": " union all ".join(f"select '{a}' attribute, count(*) versions from ({_satellite_sql([a]).format('')})" for a in _ATTRIBUTES),
     "p5_found": f"{_TREE}{_RINGS} select cur category_id, start root_category_id, cast(d as bigint) depth from w union all select id, lo, -1 from ring",
     "p5_paths": f"{_TREE}{_RINGS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w union all select id, lo, -1, '' from ring",
     "p5_descendants": f"""{_TREE} z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)

@@ -13,13 +13,12 @@ import csv
 import datetime
 import io
 import json
+import re
 from dataclasses import dataclass
 
-import pyarrow as pa  # noqa: F401  (Parquet files need it; fails early if it is missing)
-
 from ..operators.rejects import Contract
 from ..sources.readers import parsed_rows
-from .archive import FolderStore, Manifest, ObjectStore, file_key, manifest_key, sha256
+from .archive import Manifest, ObjectStore, file_key, manifest_key, sha256
 
 _SUFFIX = {"csv": ".csv", "json": ".json", "parquet": ".parquet", "xlsx": ".xlsx"}
 
@@ -46,8 +45,6 @@ def recover(store: ObjectStore, source: str) -> list[str]:
 def row_reasons(values: list[str | None], error: str | None, contract: Contract) -> str | None:
     """Reasons of one row in plain Python, for files that one process lands; the
     same rules as the readers' column expressions."""
-    import re
-
     out = [error] if error else []
     for v, f in zip(values, contract.fields, strict=True):
         if v is None or not v.strip():
@@ -117,5 +114,3 @@ def _land_one(store: ObjectStore, contract: Contract, key: str, day: datetime.da
         store.put(f"bad-rows/{source}/{checksum[:16]}-{name}.csv", out.getvalue().encode())
     return finish("completed", target, len(rows), len(bad))
 
-
-__all__ = ["FolderStore", "Landed", "land", "recover", "row_reasons"]

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 def entity_id(key_json: Column) -> Column:
     """The integer in a key such as ``{"customer_id": 7}``, however spaced."""
-    digits = F.regexp_extract(key_json, r':\s*"?(-?[0-9]+)"?\s*}', 1)
-    return F.when(digits != "", digits).cast("long")
+    return F.regexp_extract(key_json, r':\s*"?(-?[0-9]+)"?\s*}', 1).try_cast("bigint")
 
 
 def fold(changes: DataFrame, payload: str | None = "after_json", base: DataFrame | None = None) -> DataFrame:

@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows aimed at in a segment, and the limits of their number.
-SEGMENT_ROWS, LEAST, MOST = 250_000, 8, 4096
+SEGMENT_ROWS, LEAST, MOST = 250_000, 8, 1024
 
 
 def quantile_cuts(positions: DataFrame, column: str, least: int = LEAST) -> list[int]:
     """Ascending positions that cut the rows into even segments, more of them
     the more rows there are (null positions count as rows); one pass."""
-    fine = F.percentile_approx(column, [i / MOST for i in range(1, MOST)], 10_000)
-    rows, found = positions.agg(F.count("*"), fine).first()
+    # as text: thousands of literals made one by one take seconds
+    shares = ",".join(f"{i / MOST}D" for i in range(1, MOST))
+    fine = F.expr(f"percentile_approx(p, array({shares}), 10000)")
+    rows, found = positions.select(F.col(column).alias("p")).agg(F.count("*"), fine).first()
     n = max(least, min(MOST, rows // SEGMENT_ROWS))
     return sorted({found[i * MOST // n - 1] for i in range(1, n)}) if found else []
 

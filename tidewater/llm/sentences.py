@@ -21,19 +21,22 @@ in its length, quotations being looked for within ``SPAN`` characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import sentence_rules as R
+from .kept import kept
 
 #: Longest quotation, bracket or inline code recognised as one.
 SPAN = 600
 
 
-@cache
 def _compiled():
+    return kept(("patterns",), _patterns)
+
+
+def _patterns():
     import regex
 
     n = SPAN
@@ -51,9 +54,12 @@ def _compiled():
     return line, fence, item, spans, marks, scripts
 
 
-@cache
 def _cascade(scripts: tuple[str, ...], small: bool):
     """The cascade with neighbouring rules of one kind joined to one pattern."""
+    return kept(("cascade", scripts, small), lambda: _joined_rules(scripts, small))
+
+
+def _joined_rules(scripts: tuple[str, ...], small: bool):
     import regex
 
     groups: list[tuple[bool, list[str]]] = []

@@ -24,13 +24,13 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut
+from .kept import kept
 
 FOLDER = os.environ.get("TIDEWATER_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -43,9 +43,12 @@ PIECE, RUN = 65_536, 4_096
 WORDS, FIRST, LATER = 0, 1, 2
 
 
-@cache
 def encoder(file: str):
     """tiktoken encoding of a rank file; made once per Python worker."""
+    return kept(("encoder", file), lambda: _encoder(file))
+
+
+def _encoder(file: str):
     import tiktoken
 
     with open(file, "rb") as lines:
@@ -86,7 +89,6 @@ def pieces(text: str, size: int) -> list[tuple[str, int]]:
     return out
 
 
-@cache
 def _space(char: str) -> bool:
     import regex
 

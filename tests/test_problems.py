@@ -251,6 +251,26 @@ def test_hierarchy_against_brute_force(spark, bucket):
         assert pairs.count() == sum(r.depth + 1 for r in found.collect() if r.depth >= 0)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_and_descendants_of_rings_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    parent = {i: rng.choice([None, 999, *range(60)]) for i in range(60)} | {70: 70, 71: 70, 81: 83, 82: 81, 83: 82, 84: 82, 85: 84}
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent long")
+    roots = roots_by_hand(parent)
+    whole = hierarchy.whole_paths(nodes, hierarchy.roots(nodes))
+    pairs, paths = set(), {}
+    for n in parent:
+        chain = [n]
+        while parent[chain[-1]] in parent and parent[chain[-1]] not in chain:
+            chain.append(parent[chain[-1]])
+        pairs |= {(a, n, k) for k, a in enumerate(chain)}
+        paths[n] = (*roots[n], chain[chain.index(roots[n][0]) :: -1])
+    assert {r.id: (r.root, r.depth, r.path) for r in whole.collect()} == paths
+    got = [tuple(r) for r in hierarchy.whole_descendants(whole).collect()]
+    assert len(got) == len(pairs) and set(got) == pairs
+    assert {(83, 81, 1), (81, 83, 2), (81, 85, 3), (83, 85, 4)} <= pairs
+
+
 def test_latest_category_rows(spark):
     d = lambda k: dt.date(2026, 1, k)
     rows = [(1, None, "old", d(1), T0, 0, "b", "o"), (1, 2, "new", d(2), T0, 0, "b", "o"), (1, 2, "new", d(2), T0, 0, "b", "o"), (2, None, "n", d(1), None, None, None, None), (None, 1, "x", d(1), T0, 0, "b", "o")]

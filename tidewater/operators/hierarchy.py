@@ -149,3 +149,27 @@ def descendants(with_paths: DataFrame) -> DataFrame:
     itself at distance 0; as many rows as the paths have entries."""
     pairs = with_paths.filter("path is not null").select(F.posexplode("path").alias("at", "ancestor"), F.col("id").alias("descendant"), "depth")
     return pairs.select("ancestor", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
+
+
+def whole_paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, root, depth, path, chain) of every node, rings included. On or before
+    a ring (depth -1) the path starts at the ring's smallest id and follows the
+    ring to the node. The chain holds all ancestors, the farthest first and the
+    node last; it is the path, led there by the ring's ids that the path misses,
+    as each id of a ring descends from every other."""
+    trees = paths(nodes, found).filter("depth >= 0").withColumn("chain", F.col("path"))
+    looped = cut(found.filter("depth < 0").join(nodes.select("id", "parent"), "id"), "looped")
+    opened = looped.select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"))
+    p = cut(paths(opened, roots(opened)).select("id", "root", "path"), "opened")
+    # the parent of a ring's smallest id is the last on its path, which is the ring
+    last = looped.filter("id = root").select(F.col("parent").alias("id"))
+    rings = p.join(last, "id").select("root", F.col("path").alias("__ring"))
+    chain = F.concat(F.array_except("__ring", "path"), F.col("path"))
+    return trees.unionByName(p.join(rings, "root").select("id", "root", F.lit(-1).cast("long").alias("depth"), "path", chain.alias("chain")))
+
+
+def whole_descendants(with_chains: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) of every pair along a chain, the node
+    itself at distance 0; distances in a ring count the links upwards."""
+    pairs = with_chains.select(F.posexplode("chain").alias("at", "ancestor"), F.col("id").alias("descendant"), F.size("chain").alias("n"))
+    return pairs.select("ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))

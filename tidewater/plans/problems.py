@@ -77,6 +77,18 @@ def p5_descendants(spark, d):
     return hierarchy.descendants(hierarchy.paths(nodes, found))
 
 
+def p5_all_paths(spark, d):
+    """Paths of every category; on or before a ring from the ring's smallest id."""
+    nodes, found = _roots(spark, d)
+    return hierarchy.whole_paths(nodes, found).select(F.col("id").alias("category_id"), F.col("root").alias("root_category_id"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
+
+
+def p5_all_descendants(spark, d):
+    """Descendants of every category, on rings too."""
+    nodes, found = _roots(spark, d)
+    return hierarchy.whole_descendants(hierarchy.whole_paths(nodes, found))
+
+
 def p6_found(spark, d):
     contracts = rejects.contracts(table(spark, d, "file_source_fields"))
     return rejects.rejected(table(spark, d, "vendor_records"), contracts).select("record_id", "reason")
@@ -96,7 +108,7 @@ def _typed(source):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p6_found, p6_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files)}
 QUERIES |= {f"p6_typed_{s.replace('-', '_')}": _typed(s) for s in ("supplier-prices", "partner-products", "historical-orders", "supplier-stock")}
 
 _MESSAGES = "select *, coalesce(sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset), lower(trim(event_id))) mid from postgres_cdc_events"
@@ -133,6 +145,11 @@ x as (select id, p cur from m where p is not null and id not in (select cur from
       union select x.id, m.p from x join m on m.id = x.cur),
 ring as (select id, min(cur) lo from (select x.id, x.cur from x join x y on y.id = x.cur and y.cur = x.cur) group by id)
 """
+_CHAINS = """,
+k as (select m.id, m.p, ring.lo from m join ring on ring.id = m.id),
+up as (select id, id cur, [id] chain from k union all select up.id, k.p, list_prepend(k.p, up.chain) from up join k on k.id = up.cur where not list_contains(up.chain, k.p)),
+looped as (select id, arg_max(chain, len(chain)) chain from up group by id)
+"""
 _FIELD = r'("[^"]*(""[^"]*)*"|[^"{d}]*)'
 
 
@@ -199,6 +216,11 @@ union all select o.order_id, v.customer_key from o join v on o.cid = v.customer_
     "p5_paths": f"{_TREE}{_RINGS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w union all select id, lo, -1, '' from ring",
     "p5_descendants": f"""{_TREE} z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)
                           select cast(a as bigint) ancestor, cur descendant, cast(d - k + 1 as bigint) distance from z""",
+    "p5_all_paths": f"""{_TREE}{_RINGS}{_CHAINS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w
+                        union all select id, lo, -1, array_to_string(chain[list_position(chain, lo):], '/') from looped join ring using (id)""",
+    "p5_all_descendants": f"""{_TREE}{_RINGS}{_CHAINS}, z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)
+                              select cast(a as bigint) ancestor, cur descendant, cast(d - k + 1 as bigint) distance from z
+                              union all select unnest(chain), id, cast(len(chain) - generate_subscripts(chain, 1) as bigint) from looped""",
     "p6_found": f"select record_id, reason from ({_REASONS}) where reason is not null",
     "p6_files": f"""select m.batch_id, m.object_key, count(r.record_id) true_row_count, count(r.reason) true_rejected_row_count
                     from file_manifests m left join ({_REASONS}) r using (object_key) group by 1, 2""",

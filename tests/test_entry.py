@@ -39,3 +39,10 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keyset_extract_is_whole(spark):
+    """More rows than a page follow the watermark here; all come, in order."""
+    got = [(r.order_date, r.order_id) for r in entry.queries()["keyset_extract"](spark, "/root/testdata/sf0.01").collect()]
+    want = duckdb.execute("select cast(o_orderdate as date) d, o_orderkey from '/root/testdata/sf0.01/orders.parquet' where (d, o_orderkey) > (date '1998-01-01', 500) order by all").fetchall()
+    assert len(want) > 1000 and got == want

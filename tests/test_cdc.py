@@ -102,6 +102,18 @@ def test_retry():
 GOOD = {t: {"partition": 0, "offset_exclusive": 5} for t in boundary.TOPICS}
 
 
+def test_frontier_follows_the_last_offsets(spark):
+    a, b, c = boundary.TOPICS
+    shape = "kafka_topic string, kafka_partition int, kafka_offset bigint"
+    feed = spark.createDataFrame([(a, 0, 7), (a, 0, 9_000), (b, 0, 0)], shape)
+    at = boundary.frontier(feed)
+    assert {t: at[t]["offset_exclusive"] for t in at} == {a: 9_001, b: 1, c: 0}
+    assert feed.filter(boundary.boundary_filter(at, a) & (F.col("kafka_topic") == a)).count() == 2
+    for lost in ((a, 1, 3), ("x", 0, 3), (a, 0, None)):
+        with pytest.raises(boundary.BoundaryError):
+            boundary.frontier(feed.unionByName(spark.createDataFrame([lost], shape)))
+
+
 def test_boundary_is_validated():
     assert json.loads(boundary.serialized(GOOD)) == GOOD
     for bad in ([], {}, {**GOOD, "x": GOOD[boundary.TOPICS[0]]}, {**GOOD, boundary.TOPICS[0]: {"partition": 1, "offset_exclusive": 5}}, {**GOOD, boundary.TOPICS[0]: {"partition": 0, "offset_exclusive": True}}, {**GOOD, boundary.TOPICS[0]: {"partition": 0}}):

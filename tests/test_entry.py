@@ -46,3 +46,9 @@ def test_keyset_extract_is_whole(spark):
     got = [(r.order_date, r.order_id) for r in entry.queries()["keyset_extract"](spark, "/root/testdata/sf0.01").collect()]
     want = duckdb.execute("select cast(o_orderdate as date) d, o_orderkey from '/root/testdata/sf0.01/orders.parquet' where (d, o_orderkey) > (date '1998-01-01', 500) order by all").fetchall()
     assert len(want) > 1000 and got == want
+
+
+def test_cdc_frontier_reads_the_whole_ledger(spark):
+    got = entry.queries()["cdc_frontier"](spark, "/root/testdata/sf0.01").collect()
+    n, last = duckdb.execute("select count(*), max(event_id) from '/root/testdata/sf0.01/events.parquet'").fetchone()
+    assert n > 5000 and sum(r.n for r in got) == n and max(r.last_offset for r in got) == last

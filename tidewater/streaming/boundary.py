@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.specs import CAPTURED, TOPIC
@@ -53,6 +53,18 @@ def boundary_filter(boundary: Mapping | None, topic: str) -> Column:
     return (F.col("kafka_partition") == at["partition"]) & (F.col("kafka_offset") < at["offset_exclusive"])
 
 
+def frontier(feed: DataFrame) -> dict[str, dict[str, int]]:
+    """The boundary after the last offset that ``feed`` holds of each captured
+    topic, 0 for one without rows. Rows that no boundary could name are an error,
+    as the filter would lose them."""
+    known = F.col("kafka_topic").isin(*TOPICS) & (F.col("kafka_partition") == 0) & (F.col("kafka_offset") >= 0)
+    ends = feed.groupBy(F.when(known, F.col("kafka_topic")).alias("topic")).agg(F.max("kafka_offset").alias("last")).collect()
+    if any(r.topic is None for r in ends):
+        raise BoundaryError("the feed has rows outside partition 0 of the captured topics")
+    after = {r.topic: r["last"] + 1 for r in ends}
+    return validated({t: {"partition": 0, "offset_exclusive": after.get(t, 0)} for t in TOPICS})
+
+
 @dataclass(frozen=True)
 class Sample:
     """What a probe saw: exclusive end offsets, committed offsets, complaints."""

@@ -74,6 +74,20 @@ def test_replay_of_empty_ledger(spark):
     assert deliveries.replay(spark.createDataFrame([], _LEDGER)).rows().count() == 0
 
 
+def test_replay_sends_copies_through_the_index(spark):
+    day = lambda o: 1 + o % 5
+    rows = [delivery(None, "t", 0, o, f'{{"id":{o}}}', day(o), 10 * o + late) for o in range(40) for late in (0, 1, 45)]
+    rows += [delivery(None, "t", None, 0, '{"id": 0}', 1, 600), delivery(None, "t", 0, 1, '{"id":1}', 2, None)]  # known by a key of the first batch; ingested at no known time
+    t = deliveries.replay(spark.createDataFrame(rows, _LEDGER))
+    assert {r.event_id: r.copies for r in t.rows().collect()} == {mid("t", 0, o): 3 + (o < 2) for o in range(40)}
+    assert all(r.row.ingested_at.minute == 10 * int(r.row.kafka_offset) % 60 for r in t.rows().collect())
+    log = t.kept.log()
+    assert len(log) == deliveries.BATCHES
+    # every later batch replaces folders of the one before, which only the index leads to
+    dirs = [{d for ds in s.parts.values() for d in ds} for s in sorted(log, key=lambda s: s.id)]
+    assert all(a - b for a, b in zip(dirs, dirs[1:]))
+
+
 # -- 2 ------------------------------------------------------------------------
 
 _ORDERS = "order_id bigint, customer_id bigint, lifecycle_start_lsn bigint, is_snapshot_baseline boolean, updated_at timestamp, customer_key string, seg int, salt int"

@@ -31,6 +31,10 @@ from ..runtime import cut, new_dir
 from ..table.snapshots import NULL_PARTITION, SnapshotTable
 
 
+#: Batches that a ledger is replayed in.
+BATCHES = 8
+
+
 def _coordinate_id(topic, middle, offset):
     return F.sha2(F.concat_ws(":", F.coalesce(topic, F.lit("")), middle, F.coalesce(offset.cast("string"), F.lit(""))), 256)
 
@@ -87,7 +91,11 @@ class DeliveryTable:
 
     def apply(self, batch: DataFrame) -> dict:
         """Apply one batch of deliveries; returns what the commit did."""
-        staged = fold(identified(batch, self.columns).withColumn("copies", F.lit(1).cast("long")))
+        return self.apply_identified(identified(batch, self.columns))
+
+    def apply_identified(self, rows: DataFrame) -> dict:
+        """The same for a batch that ``identified`` has been through."""
+        staged = fold(rows.withColumn("copies", F.lit(1).cast("long")))
         first = self.kept.snapshot() is None
         if not first:  # read twice below, so it is written once
             staged = cut(staged, "staged")
@@ -113,18 +121,29 @@ class DeliveryTable:
         return self.kept.read().select(F.lower(F.hex("mid")).alias("event_id"), "copies", "row")
 
 
-def replay(ledger: DataFrame, columns: list[str] | None = None) -> DeliveryTable:
-    """Build the table from a ledger as history plus one late batch: rows
-    ingested on the ledger's last ingestion day are the incoming messages, all
-    others the history. ``columns`` restricts what is kept of each row."""
+def replay(ledger: DataFrame, columns: list[str] | None = None, batches: int = BATCHES) -> DeliveryTable:
+    """Build the table from a ledger in ``batches`` of about as many rows, in
+    the order they were ingested (null last), so that copies meet through the
+    index. Ids are settled over the whole ledger, so that a key's partition is
+    known whichever batch names it. ``columns`` restricts what is kept of each
+    row."""
     spark = ledger.sparkSession
     keep = ledger.columns if columns is None else list(dict.fromkeys(["event_date", "ingested_at", *columns]))
-    last = ledger.agg(F.max(F.to_date("ingested_at"))).first()[0]
     table = DeliveryTable(spark, new_dir(spark, "deliveries"), ledger.select(*keep).schema)
-    if last is None:
-        table.apply(ledger)
-        return table
-    late = F.coalesce(F.to_date("ingested_at") == F.lit(last), F.lit(False))
-    table.apply(ledger.filter(~late))
-    table.apply(ledger.filter(late))
+    rows = identified(ledger, keep)
+    at = F.unix_micros(F.col("row.ingested_at").cast("timestamp"))
+    cuts = ingestion_cuts(ledger, batches)
+    for k in range(len(cuts) + 1):
+        inside = F.lit(True) if k == 0 else at > cuts[k - 1]
+        inside = inside & (at <= cuts[k]) if k < len(cuts) else F.coalesce(inside, F.lit(True))
+        table.apply_identified(rows.filter(inside))
     return table
+
+
+def ingestion_cuts(ledger: DataFrame, batches: int) -> list[int]:
+    """Ascending ingestion times (microseconds) that end all batches but the
+    last; fewer where many rows share a time."""
+    shares = [k / batches for k in range(1, batches)]
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    found, last = ledger.agg(F.percentile_approx(at, shares, 10_000) if shares else F.lit(None), F.max(at)).first()
+    return sorted({c for c in found or [] if c < last})

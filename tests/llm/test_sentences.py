@@ -61,3 +61,20 @@ def test_rows(spark):
     got = sorted((r.doc_id, r.sent_start, r.sent_end) for r in sentences(df).collect())
     assert got == sorted([(1, 0, 4), (1, 5, 9)] * 2 + [(5, 0, 300_001), (5, 302_002 - 2_000, 302_003 - 2_000)])
     assert sentences(df.limit(0)).collect() == []
+
+
+LONG = "It was new. " * 200
+
+
+@pytest.mark.parametrize("a, b", ["()", "[]", "«»", "„“", "“”", '""', "「」", "``"])
+def test_quotations_of_any_length_do_not_split(a, b):
+    text = f"He says {a}{LONG}Ok{b} and goes on."
+    assert split(text + " Then he stops.") == [text, "Then he stops."]
+
+
+def test_brackets_of_any_depth_do_not_split():
+    for depth in (3, 500):
+        text = "He says " + "(Well. No " * depth + "x. Y" + ") z" * depth + " and goes on."
+        assert split(text + " Then he stops.") == [text, "Then he stops."]
+    assert len(split("It is (open. " + "It was new. " * 30)) == 31
+    assert split("Try `a. B`") == ["Try `a. B`"] and split("Try ``a. B``` c. D` e") == ["Try ``a. B``` c. D` e"]

@@ -14,8 +14,8 @@ such blocks comes first.
 
 Edge cases: null, empty and blank texts have no units; a fence that is never
 closed runs to the end of the text; text without an end mark runs to the end of
-its block; rows that repeat give their units again; the work per text is linear
-in its length, quotations being looked for within ``SPAN`` characters.
+its block; rows that repeat give their units again; an opening mark that is never
+closed is text; the work per text is linear in its length.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from . import sentence_rules as R
 from .kept import kept
 
-#: Longest quotation, bracket or inline code recognised as one.
-SPAN = 600
+#: Opening marks by the closing ones; a low mark is closed by either high one.
+_OPENERS = {"»": "«", "“": "„", "”": "„“", "」": "「", "』": "『", "）": "（", "》": "《", "】": "【", ")": "(", "]": "["}
+_OPENING = set("«„“「『（《【([")
 
 
 def _compiled():
@@ -39,19 +40,14 @@ def _compiled():
 def _patterns():
     import regex
 
-    n = SPAN
     line = regex.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
     fence = regex.compile(r"\s{0,3}(`{3,}|~{3,})")
     item = regex.compile(r"[^\S\r\n]{0,3}(?:[-*+•‣–]|(\d{1,3})[.)])[^\S\r\n]+(?=\S)")
-    spans = regex.compile(
-        rf"(`+)[^`]{{1,{n}}}\1"
-        rf"|«[^«»]{{1,{n}}}»|„[^„“”]{{1,{n}}}[“”]|“[^“”]{{1,{n}}}”|「[^「」]{{1,{n}}}」|『[^『』]{{1,{n}}}』|（[^（）]{{1,{n}}}）|《[^《》]{{1,{n}}}》|【[^【】]{{1,{n}}}】"
-        rf"|(?<![^\s(\[«„“「])\"(?=\S)[^\"]{{1,{n}}}(?<=\S)\"(?!\p{{Latin}})"
-        rf"|\((?:[^()]|\([^()]{{0,{n}}}\)){{1,{n}}}\)|\[[^\[\]]{{1,{n}}}\]"
-    )
+    quotes = regex.compile(r"`+|[«»„“”「」『』（）《》【】()\[\]\"]")
+    latin = regex.compile(r"\p{Latin}")
     marks = regex.compile(r"[.!?…。！？｡．।॥؟۔]+|(?<=\p{Greek}[`\p{M}]*);|(?:ครับ|ค่ะ|คะ)(?=\s)|(?:[\p{Emoji_Presentation}️]|(?<=\s)(?:\^\^|[:;]-?[)(DP]))(?=\s+\p{Lu})")
     scripts = [(name, regex.compile(pattern)) for name, (pattern, _) in R.SCRIPTS.items()]
-    return line, fence, item, spans, marks, scripts
+    return line, fence, item, quotes, latin, marks, scripts
 
 
 def _cascade(scripts: tuple[str, ...], small: bool):
@@ -128,12 +124,76 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def spans(body: str, skip: int = 0) -> list[tuple[int, int]]:
+    """(start, end) of the outermost quotations, brackets and inline code, of
+    any length and depth, by one pass with a stack. A closing mark drops what was
+    opened after its opening mark and never closed."""
+    *_, quotes, latin, _, _ = _compiled()
+    marks = [[m.start(), m.end()] for m in quotes.finditer(body, skip)]
+    runs = [m for m in marks if body[m[0]] == "`"]
+    found: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    open_ = dict.fromkeys([*_OPENING, '"'], 0)  # how many of each are on the stack
+    straight, run, done = -1, 0, 0
+
+    def close(kinds: str, end: int) -> None:
+        nonlocal straight
+        while stack:
+            kind, at = stack.pop()
+            if kind == '"' and at != straight:
+                continue  # given up before
+            open_[kind] -= 1
+            if kind == '"':
+                straight = -1
+            if kind in kinds:
+                if end - at > 2:
+                    found.append((at, end))
+                return
+
+    for mark in marks:
+        i, end = mark
+        if i == end:  # a run used up by the one before
+            run += 1
+            continue
+        c = body[i]
+        if c == "`":
+            run += 1
+            if run < len(runs):
+                n = min(end - i, runs[run][1] - runs[run][0])
+                done = runs[run][0] + n
+                found.append((end - n, done))
+                runs[run][0] = done  # what is left of a longer run may open again
+        elif i < done:  # within inline code
+            continue
+        elif c == '"':
+            if straight >= 0:
+                if i - straight > 1 and not body[i - 1].isspace() and not latin.match(body, end):
+                    close(c, end)
+                    continue
+                straight, open_[c] = -1, 0
+            if (i == 0 or body[i - 1].isspace() or body[i - 1] in "([«„“「") and end < len(body) and not body[end].isspace():
+                stack.append((c, i))
+                straight, open_[c] = i, 1
+        elif c in _OPENERS and any(open_[k] for k in _OPENERS[c]):
+            close(_OPENERS[c], end)
+        elif c in _OPENING:
+            stack.append((c, i))
+            open_[c] += 1
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _breaks(text: str, start: int, end: int, skip: int, small: bool) -> list[int]:
     """Places in [start, end) after which a new sentence starts."""
-    *_, spans, marks, scripts = _compiled()
+    *_, marks, scripts = _compiled()
     body = text[start:end]
     rules = _cascade(tuple(name for name, p in scripts if p.search(body)), small)
-    inside = [s.span() for s in spans.finditer(body, skip)]
+    # with the place after which nothing but space comes before the closing mark
+    inside = [(a, b, a + len(body[a : b - 1].rstrip())) for a, b in spans(body, skip)]
+    last = len(body.rstrip())
     out, k, at = [], 0, skip
     while m := marks.search(body, at):
         a, p = m.span()
@@ -142,13 +202,12 @@ def _breaks(text: str, start: int, end: int, skip: int, small: bool) -> list[int
             k += 1
         if k < len(inside) and inside[k][0] < a:  # within a quotation
             close = inside[k][1]
-            rest = body[p : close - 1]
-            if rest.strip() or body[inside[k][0]] == "`":
+            if p < inside[k][2] or body[inside[k][0]] == "`":
                 at = max(p, close) if body[inside[k][0]] == "`" else p
                 continue
             p = at = close
             k += 1
-        if p >= len(body.rstrip()):
+        if p >= last:
             break
         for stop, rule in rules:
             if rule.match(body, p):

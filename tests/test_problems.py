@@ -70,6 +70,13 @@ def test_deliveries_leave_other_partitions_alone(spark):
     assert t.rows().count() == 30
 
 
+def test_messages_without_offset_keep_their_event_ids(spark):
+    rows = [delivery(e, t, 0, o, "{}", 1, 5) for e in ("aa", "BB", "cc", "aa") for t, o in (("t", None), (None, 4))]
+    rows += [delivery(None, "t", p, None, '{"id":1}', 1, 5) for p in (1, 2)]
+    want = {"aa": 4, "bb": 2, "cc": 2, mid("t", 1, ""): 1, mid("t", 2, ""): 1}
+    assert {r.event_id: r.copies for r in deliveries.replay(spark.createDataFrame(rows, _LEDGER)).rows().collect()} == want
+
+
 def test_replay_of_empty_ledger(spark):
     assert deliveries.replay(spark.createDataFrame([], _LEDGER)).rows().count() == 0
 

@@ -8,15 +8,16 @@ committing a snapshot in which exactly those partitions are replaced.
 
 Identity. A message is one Kafka coordinate and its id is the lower-case hex
 SHA-256 of ``topic:partition:offset``. A row with a complete coordinate gets its
-id from that; one whose partition is null keeps its event_id, trimmed and in
-lower case; one with neither takes the partition known for its (topic, key), as
-a key stays on one partition, and if none is known its id is the hash of
-``topic:key:offset``.
+id from that; one that lacks any of the three keeps its event_id, trimmed and in
+lower case; one with neither takes its own partition or that known for its
+(topic, key), as a key stays on one partition, and if none is known its id is the
+hash of ``topic:key:offset``.
 
 Winner. The copy ingested first (null ``ingested_at`` last), then the smaller
 event date, then the smaller row hash; equal rows are interchangeable.
 
-Edge cases: null topics or offsets count as empty text in the id; an empty batch
+Edge cases: null topics or offsets of rows without event_id count as empty text
+in the id; an empty batch
 commits nothing; rows that repeat inside one batch count as copies; input
 columns keep their names whatever they are, as they travel inside one struct.
 """
@@ -47,7 +48,8 @@ def identified(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     event_id = F.lower(F.trim(c["event_id"]))
     event_id = F.when(event_id != "", event_id)
     partition = c["kafka_partition"].cast("string")
-    sure = F.coalesce(F.when(partition.isNotNull(), _coordinate_id(c["kafka_topic"], partition, c["kafka_offset"])), event_id)
+    whole = c["kafka_topic"].isNotNull() & partition.isNotNull() & c["kafka_offset"].isNotNull()
+    sure = F.coalesce(F.when(whole, _coordinate_id(c["kafka_topic"], partition, c["kafka_offset"])), event_id)
     row = F.struct(*[c[n] for n in df.columns]).alias("row")
     base = df.select(sure.alias("sure"), row)
     unknown = base.filter(F.col("sure").isNull())
@@ -56,7 +58,7 @@ def identified(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     key = F.concat_ws(":", F.coalesce(F.col("row.kafka_topic"), F.lit("")), F.coalesce(F.regexp_replace("row.key_json", r"\s", ""), F.lit("")))
     known = base.filter(F.col("row.kafka_partition").isNotNull()).groupBy(key.alias("k")).agg(F.min("row.kafka_partition").alias("p"))
     lost = unknown.withColumn("k", key).join(known, "k", "left")
-    lost = lost.select(_coordinate_id(F.col("row.kafka_topic"), F.coalesce(F.col("p").cast("string"), F.regexp_replace("row.key_json", r"\s", ""), F.lit("")), F.col("row.kafka_offset")).alias("sure"), "row")
+    lost = lost.select(_coordinate_id(F.col("row.kafka_topic"), F.coalesce(F.col("row.kafka_partition").cast("string"), F.col("p").cast("string"), F.regexp_replace("row.key_json", r"\s", ""), F.lit("")), F.col("row.kafka_offset")).alias("sure"), "row")
     return base.filter(F.col("sure").isNotNull()).unionByName(lost).select(F.unhex("sure").alias("mid"), kept)
 
 

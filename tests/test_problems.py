@@ -328,6 +328,15 @@ def test_reject_cases(spark):
     assert rejects.rejected(df.limit(0), [CSV, JSON]).count() == 0
 
 
+def test_numbers_that_types_cannot_hold_are_kept_as_written(spark):
+    c = rejects.Contract("n", "csv", ";", (rejects.Field("i", "integer"), rejects.Field("x", "decimal")))
+    big, fine = "9" * 30, "1" * 33 + ".5"
+    rows = [("9223372036854775807", "1.2500000"), (big, "1.5"), ("-1", "0.0000004"), ("2", fine), ("x", fine), ("-" + big, "1.12345678")]
+    df = spark.createDataFrame([(k, "n", f"{i};{x}") for k, (i, x) in enumerate(rows)], "record_id int, source string, raw_record string")
+    got = {(r.record_id, r.field, r.exact) for r in rejects.inexact(df, c).collect()}
+    assert got == {(1, "i", big), (2, "x", "0.0000004"), (3, "x", fine), (5, "i", "-" + big), (5, "x", "1.12345678")}
+
+
 def test_contract_table(spark):
     fields = spark.createDataFrame([("c", "csv", ";", "1", k, n, t, True) for k, (n, t) in enumerate([("a", "string"), ("n", "integer"), ("d", "date")])], "source string, file_format string, delimiter string, schema_version string, field_position int, field_name string, field_type string, required boolean")
     assert rejects.contracts(fields) == [CSV]

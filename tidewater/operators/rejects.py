@@ -173,19 +173,44 @@ def rejected(records: DataFrame, table: list[Contract], record: str = "raw_recor
 
 def typed(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
     """The good records of one contract as typed columns, besides those of the
-    input (a field named like an input column gets the prefix ``value_``)."""
-    kinds = {"integer": "bigint", "decimal": "decimal(38,6)", "date": "date", "boolean": "boolean", "string": "string"}
+    input (a field named like an input column gets the prefix ``value_``).
+    Integers beyond 64 bits become null, decimals are rounded to six places and
+    null beyond 32 digits before the point; ``inexact`` has the exact texts."""
+    good, values = _good(records, contract, record)
+    return good.select(*records.columns, *[_cast(text, f).alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values])
+
+
+def inexact(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
+    """The input columns, ``field`` and ``exact`` (the text as written) of every
+    number in a good record that ``typed`` rounds or makes null."""
+    good, values = _good(records, contract, record)
+    lost = []
+    for f, text in values:
+        if f.type == "integer":
+            lost.append((f, text, _cast(text, f).isNull() & ~text.rlike(_BLANK)))
+        elif f.type == "decimal":
+            lost.append((f, text, (_cast(text, f).isNull() | text.rlike(r"\.[0-9]{6}[0-9]*[1-9]")) & ~text.rlike(_BLANK)))
+    found = [F.when(why, F.struct(F.lit(f.name).alias("field"), text.alias("exact"))) for f, text, why in lost]
+    kind = "array<struct<field:string,exact:string>>"
+    one = F.explode(F.array_compact(F.array(*found)) if found else F.array().cast(kind)).alias("__lost")
+    return good.select(*records.columns, one).select(*records.columns, "__lost.field", "__lost.exact")
+
+
+_KINDS = {"integer": "bigint", "decimal": "decimal(38,6)", "date": "date", "boolean": "boolean", "string": "string"}
+
+
+def _cast(text: Column, field: Field) -> Column:
+    return text if field.type == "string" else text.try_cast(_KINDS[field.type])
+
+
+def _good(records: DataFrame, contract: Contract, record: str) -> tuple[DataFrame, list[tuple[Field, Column]]]:
+    """Good records, and each field with its text."""
     own = free_prefix(records.columns)
     good = with_errors(records.filter(F.col("source") == contract.source), contract, f"{own}values", f"{own}errors", once(F.col(record)))
-    good = good.filter(F.size(f"{own}errors") == 0)
-    marked = contract.format == "json"
-    out = []
-    for k, f in enumerate(contract.fields):
-        text = F.get(F.col(f"{own}values"), F.lit(k))
-        text = F.substr(text, F.lit(2)) if marked else text
-        value = text if f.type == "string" else text.try_cast(kinds[f.type])
-        out.append(value.alias(f"value_{f.name}" if f.name in records.columns else f.name))
-    return good.select(*records.columns, *out)
+    texts = [F.get(F.col(f"{own}values"), F.lit(k)) for k in range(len(contract.fields))]
+    if contract.format == "json":
+        texts = [F.substr(t, F.lit(2)) for t in texts]
+    return good.filter(F.size(f"{own}errors") == 0), list(zip(contract.fields, texts, strict=True))
 
 
 def file_counts(manifests: DataFrame, records: DataFrame, table: list[Contract]) -> DataFrame:

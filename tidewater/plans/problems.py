@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,13 @@ def p6_files(spark, d):
     return rejects.file_counts(table(spark, d, "file_manifests"), table(spark, d, "vendor_records"), contracts)
 
 
+def p6_inexact(spark, d):
+    """Numbers of good records that the typed rows can't hold exactly, as written."""
+    records = table(spark, d, "vendor_records").select("record_id", "source", "raw_record")
+    parts = [rejects.inexact(records, c).select("record_id", "field", "exact") for c in rejects.contracts(table(spark, d, "file_source_fields"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _typed(source):
     def run(spark, d):
         contracts = {c.source: c for c in rejects.contracts(table(spark, d, "file_source_fields"))}
@@ -108,7 +117,7 @@ def _typed(source):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files, p6_inexact)}
 QUERIES |= {f"p6_typed_{s.replace('-', '_')}": _typed(s) for s in ("supplier-prices", "partner-products", "historical-orders", "supplier-stock")}
 
 _MESSAGES = "select *, coalesce(sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset), lower(trim(event_id))) mid from postgres_cdc_events"
@@ -225,4 +234,7 @@ union all select o.order_id, v.customer_key from o join v on o.cid = v.customer_
     "p6_files": f"""select m.batch_id, m.object_key, count(r.record_id) true_row_count, count(r.reason) true_rejected_row_count
                     from file_manifests m left join ({_REASONS}) r using (object_key) group by 1, 2""",
 }
+ORACLE["p6_inexact"] = " union all ".join(
+    f"""select record_id, '{n}' field, f[{k}] exact from ({_checked_sql(s)}) where reason is null and {f"coalesce(try_cast(f[{k}] as hugeint) not between -9223372036854775808 and 9223372036854775807, true)" if t == "integer" else f"(length(ltrim(split_part(f[{k}], '.', 1), '0')) > 32 or length(rtrim(split_part(f[{k}], '.', 2), '0')) > 6)"}"""
+    for s, (_, fields) in _CONTRACTS.items() for k, (n, t) in enumerate(fields, 1) if t in ("integer", "decimal"))
 ORACLE |= {f"p6_typed_{s.replace('-', '_')}": _typed_sql(s) for s in _CONTRACTS}

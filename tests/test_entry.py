@@ -52,3 +52,8 @@ def test_cdc_frontier_reads_the_whole_ledger(spark):
     got = entry.queries()["cdc_frontier"](spark, "/root/testdata/sf0.01").collect()
     n, last = duckdb.execute("select count(*), max(event_id) from '/root/testdata/sf0.01/events.parquet'").fetchone()
     assert n > 5000 and sum(r.n for r in got) == n and max(r.last_offset for r in got) == last
+
+
+def test_parents_of_product_categories_match(spark):
+    rows = entry.queries()["dim_product_tree"](spark, DATA).collect()
+    assert rows and all(r.category.startswith(f"{r.parent}/") and r.grand == "all" for r in rows)

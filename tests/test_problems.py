@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import cdc_fold, deliveries, hierarchy, pit_asof, rejects, satellites, segments
+from tidewater.operators import cdc_fold, deliveries, hierarchy, pit_asof, rejects, relational, satellites, segments
 from tidewater.runtime import new_dir
 
 T0 = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
@@ -127,8 +127,8 @@ def in_force_by_hand(orders, versions):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [3, 50_000])
-def test_in_force_against_brute_force(spark, group_rows):
+@pytest.mark.parametrize("bucket_rows", [5, 200_000])
+def test_in_force_against_brute_force(spark, bucket_rows):
     rng = random.Random(3)
     versions, orders = [], []
     for c in [1] * 40 + list(range(2, 12)):
@@ -143,11 +143,20 @@ def test_in_force_against_brute_force(spark, group_rows):
         o = (i, rng.choice([1, 1, 1, *range(2, 13), None]), None if base or rng.random() < 0.05 else rng.randrange(0, 340), base, T0, "old", 3, 4)
         orders += [o, (*o[:4], T0 + dt.timedelta(days=1), *o[5:])] if i % 7 == 0 else [o]
     o, v = spark.createDataFrame(orders, _ORDERS), spark.createDataFrame(versions, _VERSIONS)
-    got = {r.order_id: r.customer_key for r in pit_asof.in_force(o, v, group_rows=group_rows, bucket_rows=20).collect()}
+    got = {r.order_id: r.customer_key for r in pit_asof.in_force(o, v, bucket_rows).collect()}
     assert got == in_force_by_hand(orders, versions)
     assert pit_asof.in_force(o.limit(0), v).count() == 0 and pit_asof.in_force(o, v.limit(0)).count() == 0
 
 
+def test_no_bucket_outgrows_its_bound_whoever_has_the_rows(spark):
+    orders = spark.range(3_000).selectExpr("id order_id", "1L customer_id", "if(id < 2000, null, id) lifecycle_start_lsn", "id < 2000 is_snapshot_baseline", "timestamp'2026-01-01' updated_at")
+    versions = spark.range(2_000).selectExpr("concat('k', id) customer_key", "1L customer_id", "if(id = 0, null, id * 2) valid_from_lsn", "cast(null as bigint) valid_to_lsn", "id = 0 is_snapshot_baseline", "id kafka_offset")
+    sizes = [r["count"] for r in pit_asof.buckets(orders, versions, 100).groupBy("bucket").count().collect()]
+    assert sum(sizes) >= 5_000 and max(sizes) <= 101
+    got = {r.order_id: r.customer_key for r in pit_asof.in_force(orders, versions, 100).collect()}
+    assert got == {i: "k0" if i < 2000 else f"k{i // 2}" for i in range(3_000)}
+
+
 # -- 3 ------------------------------------------------------------------------
 
 _CHANGES = "source_table string, operation string, source_lsn bigint, kafka_offset bigint, key_json string, after_json string, last string, entity_id string"
@@ -216,20 +225,75 @@ def test_history_against_brute_force(spark, seed, monkeypatch):
     built = satellites.build(df, s)
     got = [tuple(r) for r in satellites.versions(built).select("customer_id", "valid_from_lsn", "valid_to_lsn").collect()]
     assert sorted(got) == sorted(periods_by_hand(rows))
-    # insert-only loads in two steps give the same view
-    half = spark.createDataFrame(rows[:150], _CHANGED)
-    sat = satellites.build(half, s).drop("next_place")
-    sat = sat.unionByName(satellites.appended(sat, df, s))
-    view = satellites.satellite_view(sat, s).select("customer_id", "valid_from_lsn", "valid_to_lsn")
-    assert sorted(tuple(r) for r in view.collect()) == sorted(got)
+    # insert-only loads in any order give the same view, and loading again adds nothing
+    table = satellites.SatelliteTable(spark, new_dir(spark, "satellite"), s)
+    order = [rows[:150] + rows[:9], rows[250:], rows[150:250]]
+    for k, part in enumerate(order):
+        table.append(spark.createDataFrame(part, _CHANGED), piece_rows=[200_000, 7, 50][k])
+        view = satellites.satellite_view(table.rows(), s, 13).select("customer_id", "valid_from_lsn", "valid_to_lsn")
+        assert sorted(tuple(r) for r in view.collect()) == sorted(periods_by_hand(sorted(sum(order[: k + 1], []), key=lambda r: r[4])))
+    stored = table.rows().count()
+    assert table.append(spark.createDataFrame(order[1], _CHANGED)) is None and table.rows().count() == stored < 350
     assert satellites.versions(satellites.build(df.limit(0), s)).count() == 0
+    assert table.append(df.limit(0)) is None
 
 
-def test_segment_search(spark):
-    cuts = [1, 3, 3_000_000_000, 5_000_000_000, 5_000_000_001]
-    xs = [-(2**63), 0, 1, 2, 3, 4, 3_000_000_000, 5_000_000_000, 2**60]
-    df = spark.createDataFrame([(x,) for x in xs], "x long")
-    assert [r[0] for r in df.select(segments.segment(F.col("x"), cuts)).collect()] == [segments.segment_of(x, cuts) for x in xs]
+def test_append_writes_in_proportion_to_the_batch(spark):
+    s = satellites.CUSTOMER_SATELLITES[0]
+    history = spark.range(2_000).selectExpr("id % 20 customer_id", "'u' operation", "false is_snapshot_baseline", "id valid_from_lsn", "id kafka_offset", "concat('s', (id div 20) % 3) segment", "'active' customer_status")
+    table = satellites.SatelliteTable(spark, new_dir(spark, "satellite"), s)
+    table.append(history)
+    before = table.table.snapshot()
+    table.append(history.limit(5).selectExpr("customer_id", "operation", "is_snapshot_baseline", "9000 valid_from_lsn", "9000 kafka_offset", "'new' segment", "customer_status"))
+    after = table.table.snapshot()
+    assert all(after.parts[k][: len(before.parts[k])] == before.parts[k] for k in before.parts)
+    added = {k: spark.read.parquet(f"{table.table.root}/{after.parts[k][-1]}").count() for k in after.parts}
+    assert added == {"satellite": 5, "tracking": 5}
+
+
+def test_satellites_are_split_by_rate(spark):
+    n = spark.range(300).selectExpr("1L customer_id", "'u' operation", "false is_snapshot_baseline", "id valid_from_lsn", "id kafka_offset", "string(id % 2) a", "string(id % 3) b", "string(id div 100) c", "'x' d")
+    for size in (7, 200_000):
+        rates = {r.attribute: r.versions for r in satellites.change_rates(n, ["a", "b", "c", "d"], size).collect()}
+        assert rates == {"a": 300, "b": 300, "c": 3, "d": 1}
+    assert satellites.split_by_rate(rates) == [("a", "b"), ("c",), ("d",)] and satellites.split_by_rate({}) == []
+
+
+def test_no_satellite_of_customers_mixes_rates(spark):
+    """The satellites in use are cut along the groups that the data's rates give."""
+    changed = spark.read.parquet("/root/testdata/sf0.01/int_cdc_customer_versions.parquet")
+    names = [a for s in satellites.CUSTOMER_SATELLITES for a in s.attributes]
+    rates = {r.attribute: r.versions for r in satellites.change_rates(changed, names).collect()}
+    groups = [set(g) for g in satellites.split_by_rate(rates)]
+    assert len(groups) > 1 and all(any(set(s.attributes) <= g for g in groups) for s in satellites.CUSTOMER_SATELLITES), rates
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_rows_beside_across_pieces(spark, size):
+    rng = random.Random(size)
+    rows = sorted({(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(60)) for _ in range(90)}, key=str)
+    df = spark.createDataFrame([(k, p, rng.choice("ab")) for k, p in rows], "k long, p long, s string")
+    state = {(r.k, r.p): r.s for r in df.collect()}
+    by = lambda key: sorted(p for k, p in state if k == key)
+    after = {(k, p): next((q for q in by(k) if q > p), None) for k, p in state}
+    got = {(r.k, r.p): r.n and r.n.p for r in segments.next_row(df, "k", "p", ["p"], "n", size).collect()}
+    assert got == after
+    back = {(r.k, r.p): r.n and r.n.p for r in segments.previous_row(df, "k", "p", ["p"], "n", size).collect()}
+    assert back == {(k, p): next((q for q in reversed(by(k)) if q < p), None) for k, p in state}
+    kept = {(k, p): s for (k, p), s in state.items() if back[k, p] is None or state[k, back[k, p]] != s}
+    want = {(k, p): next((q for q in by(k) if q > p and (k, q) in kept), None) for k, p in kept}
+    assert {(r.k, r.p): r.next_position for r in segments.changes(df, "k", "p", "s", size).collect()} == want
+    pieces = segments.in_pieces(df, ["k", "p"], size)
+    assert max(r["count"] for r in pieces.groupBy("__piece").count().collect()) <= size
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10_000])
+def test_lookup_of_hot_keys(spark, hot_rows):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in (2, 2, 3, None)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d"), (None, "n")], "r long, w string")
+    got = sorted(((r.k, r.v, r.w) for r in relational.lookup(left, "k", right, "r", hot_rows=hot_rows).collect()), key=str)
+    assert got == sorted([(1, i, "a") for i in range(50)] + [(2, 0, "b")] * 2 + [(3, 0, None), (None, 0, None)], key=str)
+    assert relational.lookup(left, "k", right, "r", "inner", hot_rows).count() == 52
 
 
 # -- 5 ------------------------------------------------------------------------

@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .segments import next_row, quantile_cuts
+from ..runtime import scratch_dir
+from .segments import PIECE_ROWS, next_row
+
+#: Rows of one key above which a lookup salts it.
+HOT_ROWS = 1_000_000
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,17 +53,15 @@ def boundary_winners(events: DataFrame, key: str) -> DataFrame:
 _BASELINE, _UNKNOWN = -(2**63), -(2**63) + 1
 
 
-def scd2_versions(events: DataFrame, key: str, version_key: str, cuts: list[int] | None = None) -> DataFrame:
+def scd2_versions(events: DataFrame, key: str, version_key: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Versions with half-open LSN intervals: the baseline first, then by LSN.
     Deletes close a version and open none; null start marks the baseline. Each
-    version's successor is found in LSN segments (quantiles of the events unless
-    ``cuts`` are given), so a hot key is spread over tasks."""
-    if cuts is None:
-        cuts = quantile_cuts(events.select("source_lsn"), "source_lsn")
+    version's successor is found in pieces of at most ``piece_rows`` rows, so a
+    hot key is spread over tasks."""
     place = F.when(F.col("is_snapshot_baseline"), F.lit(_BASELINE)).otherwise(F.coalesce(F.col("source_lsn"), F.lit(_UNKNOWN)))
     winners = boundary_winners(events, key).withColumn("__place", place)
     out = (
-        next_row(winners, key, "__place", ["source_lsn", "source_timestamp", "event_id"], cuts, "__next")
+        next_row(winners, key, "__place", ["source_lsn", "source_timestamp", "event_id"], "__next", piece_rows)
         .withColumn("valid_to_lsn", F.col("__next.source_lsn"))
         .withColumn("closed_at_source_timestamp", F.col("__next.source_timestamp"))
         .withColumn("is_current", F.col("__next").isNull())
@@ -117,13 +120,18 @@ def calendar(first: Column, last: Column, source: DataFrame) -> DataFrame:
     )
 
 
-def keyset_page(df: DataFrame, stamp: str, key: str, after: tuple | None, size: int | None = None) -> DataFrame:
-    """Rows after a watermark (stamp, key) in that order; all if there is none.
+def after_watermark(df: DataFrame, stamp: str, key: str, after: tuple | None) -> DataFrame:
+    """Rows after a watermark (stamp, key), in no order; all if there is none.
     The comparison is spelled out so that the stamp bound reaches the scan."""
-    if after is not None:
-        at = F.lit(after[0])
-        df = df.filter((F.col(stamp) >= at) & ((F.col(stamp) > at) | (F.col(key) > F.lit(after[1]))))
-    df = df.orderBy(stamp, key)
+    if after is None:
+        return df
+    at = F.lit(after[0])
+    return df.filter((F.col(stamp) >= at) & ((F.col(stamp) > at) | (F.col(key) > F.lit(after[1]))))
+
+
+def keyset_page(df: DataFrame, stamp: str, key: str, after: tuple | None, size: int | None = None) -> DataFrame:
+    """``after_watermark`` in its order; the first ``size`` rows if given."""
+    df = after_watermark(df, stamp, key, after).orderBy(stamp, key)
     return df.limit(size) if size else df
 
 
@@ -143,3 +151,43 @@ def gated(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> Dat
     """Child rows with a live parent (parent keys are unique, so a semi join)."""
     p = parent.select(F.col(parent_key).alias("__p"))
     return child.join(p, F.col(key) == F.col("__p"), "left_semi")
+
+
+def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined to ``right``, whose ``right_key`` is unique, so that no key
+    of ``left`` brings more than about ``hot_rows`` rows into one task: rows of
+    hot keys are salted before they are shuffled, by a hash of the whole row, and
+    the one row they look up is copied to each salt. The list of hot keys, which
+    is broadcast, has at most rows / ``hot_rows`` rows."""
+    counts = left.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(counts.filter(F.col("__n") > hot_rows).select("__hot", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
+    at = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__salts")), F.lit(0)).cast("int")
+    spread = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", at).drop("__hot", "__salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)).alias("__copy")
+    found = right.join(hot, F.col(right_key) == F.col("__hot"), "left").select(*right.columns, copies)
+    return spread.join(found, (F.col(key) == F.col(right_key)) & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
+
+
+def time_cuts(rows: DataFrame, stamp: Column, parts: int) -> list[int]:
+    """Ascending times (microseconds) that end all but the last of ``parts``
+    parts of about as many rows; fewer where many rows share a time."""
+    shares = [k / parts for k in range(1, parts)]
+    at = F.unix_micros(stamp.cast("timestamp"))
+    found, last = rows.agg(F.percentile_approx(at, shares, 10_000) if shares else F.lit(None), F.max(at)).first()
+    return sorted({c for c in found or [] if c < last})
+
+
+def in_time_order(rows: DataFrame, stamp: Column, parts: int, name: str = "batches") -> list[DataFrame]:
+    """``rows`` in batches of about as many rows by ``stamp`` (null last), written
+    once, so that a batch is read without the others."""
+    cuts = time_cuts(rows, stamp, parts)
+    at = F.unix_micros(stamp.cast("timestamp"))
+    number = F.when(at.isNull(), len(cuts)).otherwise(sum(((at > c).cast("int") for c in cuts), F.lit(0)))
+    path = scratch_dir(rows.sparkSession, name)
+    rows.withColumn("__batch", number.cast("int")).write.partitionBy("__batch").parquet(path)
+    # a batch without rows has no folder
+    whole = rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(path)
+    out = [whole.filter(F.col("__batch") == k).drop("__batch") for k in range(len(cuts) + 1)]
+    for b in out:
+        b._scratch = path
+    return out

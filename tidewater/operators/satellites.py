@@ -3,7 +3,8 @@
 The attributes of an entity are split by how often they change into satellites.
 A satellite gets a row only where the hash of its attributes (hash diff)
 differs from the entity's row before; nothing is updated, and the end of a
-version is computed in a view as the start of the next row.
+version is computed in a view as the start of the next row. Batches are appended
+(``SatelliteTable``), in whatever order they come.
 
 Order of an entity's changes: the snapshot baseline, then streamed changes by
 LSN. Of several changes at one LSN the one with the highest Kafka offset counts,
@@ -19,12 +20,17 @@ an empty table gives an empty history.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .segments import changes, quantile_cuts
+from ..runtime import cut, discard, scratch_dir
+from ..table.snapshots import Snapshot, SnapshotTable
+from .relational import in_time_order, lookup
+from .segments import PIECE_ROWS, changes, previous_row
 
 #: Place of a baseline: before every LSN.
 BASELINE = -(2**63)
@@ -37,8 +43,9 @@ class Satellite:
     attributes: tuple[str, ...]
 
 
-#: Split by change rate: the classification moves with the customer's activity,
-#: places now and then, names hardly ever.
+#: Split along the groups of ``split_by_rate`` (a test holds them against the
+#: data's rates): classification and place move alike, names much less often.
+#: Classification is apart from place because it is asked for by itself.
 CUSTOMER_SATELLITES = (
     Satellite("classification", ("segment", "customer_status")),
     Satellite("place", ("region", "city")),
@@ -73,37 +80,116 @@ def staged(changed: DataFrame, satellite: Satellite) -> DataFrame:
     return rows.select("customer_id", "place", diff.alias("hash_diff"), F.col("best.kafka_offset").alias("kafka_offset"), *attributes)
 
 
-def build(changed: DataFrame, satellite: Satellite, cuts: list[int] | None = None) -> DataFrame:
-    """The satellite's rows, with ``next_place`` as the view computes it."""
-    rows = staged(changed, satellite)
-    if cuts is None:
-        cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
-    return changes(rows, "customer_id", "place", "hash_diff", cuts).withColumnRenamed("next_position", "next_place")
-
-
-def change_rates(changed: DataFrame, attributes: list[str]) -> DataFrame:
-    """(attribute, versions): how many versions each attribute alone would have.
-    Attributes with like rates belong in one satellite."""
-    cuts = quantile_cuts(changed.select("valid_from_lsn"), "valid_from_lsn")
-    out = None
-    for a in attributes:
-        kept = build(changed, Satellite(a, (a,)), cuts).filter(F.col("hash_diff") != DELETED)
-        n = kept.agg(F.count("*").alias("versions")).select(F.lit(a).alias("attribute"), "versions")
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-def appended(existing: DataFrame, changed: DataFrame, satellite: Satellite) -> DataFrame:
-    """Rows to insert into a satellite after ``changed`` (all changes so far)
-    grew: the changes it lacks, and, where a later message now counts at a place
-    the satellite has, that message, whether a change or not. A late change may
-    need a row that was no change before; rows that stopped being changes stay
-    and the view passes them over."""
-    have = existing.select(F.col("customer_id").alias("__c"), F.col("place").alias("__p"), F.col("hash_diff").alias("__h"), F.col("kafka_offset").alias("__o"))
-    place = (F.col("customer_id") == F.col("__c")) & (F.col("place") == F.col("__p"))
-    same = place & (F.col("hash_diff") == F.col("__h")) & (F.col("kafka_offset") == F.col("__o"))
-    corrected = staged(changed, satellite).join(have, place, "left_semi")
-    return build(changed, satellite).drop("next_place").unionByName(corrected).distinct().join(have, same, "left_anti")
+def build(changed: DataFrame, satellite: Satellite, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The rows a satellite has after all of ``changed`` came in order, with
+    ``next_place`` as the view computes it."""
+    return changes(staged(changed, satellite), "customer_id", "place", "hash_diff", piece_rows).withColumnRenamed("next_position", "next_place")
+
+
+def change_rates(changed: DataFrame, attributes: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(attribute, versions): how many versions each attribute alone would have,
+    in one pass over all of them."""
+    rows = staged(changed, Satellite("all", tuple(attributes))).withColumn("gone", F.col("hash_diff") == DELETED)
+    marked = previous_row(rows.select("customer_id", "place", "gone", *attributes), "customer_id", "place", ["gone", *attributes], "before", piece_rows)
+    opens = lambda a: F.col("before").isNull() | F.col("before.gone") | ~F.col(f"before.{a}").eqNullSafe(F.col(a))
+    counted = marked.agg(*[F.count_if(~F.col("gone") & opens(a)).alias(a) for a in attributes])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("versions")) for a in attributes])))
+
+
+def split_by_rate(rates: Mapping[str, int], factor: float = 2.0) -> list[tuple[str, ...]]:
+    """Attributes grouped into satellites: the fastest opens one, and takes those
+    that change at least 1 / ``factor`` times as often; the next opens another."""
+    out: list[list[str]] = []
+    for a in sorted(rates, key=lambda a: (-rates[a], a)):
+        if out and rates[a] * factor >= rates[out[-1][0]]:
+            out[-1].append(a)
+        else:
+            out.append([a])
+    return [tuple(g) for g in out]
+
+
+class SatelliteTable:
+    """A stored satellite, below ``root``. Both of its parts only ever grow.
+
+    ``satellite`` has the rows that were changes when they came, with attributes.
+    ``tracking`` has (entity, place, hash diff, offset) of every change received,
+    changed or not: a change that comes late may make a row a change that was
+    none, and only this tells. Both parts of a batch are one commit.
+    """
+
+    _KEYS = ("customer_id", "place", "hash_diff", "kafka_offset")
+
+    def __init__(self, spark: SparkSession, root: str, satellite: Satellite):
+        self.spark, self.satellite = spark, satellite
+        kinds = [T.LongType(), T.LongType(), T.StringType(), T.LongType(), *[T.StringType() for _ in satellite.attributes]]
+        names = [*self._KEYS, *satellite.attributes]
+        self.table = SnapshotTable(spark, root).create(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+    def rows(self) -> DataFrame:
+        return self.table.read(partitions=["satellite"])
+
+    def _near(self, parent: Snapshot | None, new: DataFrame) -> DataFrame:
+        """What is tracked of the batch's entities from its first place on, and
+        the one row before that (``before``). No more can matter to the batch."""
+        seen = self.table.read(parent.id if parent else None, ["tracking"] if parent else []).select(*self._KEYS)
+        low = new.groupBy(F.col("customer_id").alias("__c")).agg(F.min("place").alias("__low"))
+        near = lookup(seen, "customer_id", low, "__c", "inner").drop("__c")
+        place = F.struct("place", "kafka_offset", "hash_diff")
+        last = near.filter(F.col("place") < F.col("__low")).groupBy("customer_id").agg(F.max(place).alias("p")).select("customer_id", "p.place", "p.hash_diff", "p.kafka_offset", F.lit(True).alias("before"))
+        return near.filter(F.col("place") >= F.col("__low")).select(*self._KEYS, F.lit(False).alias("before")).unionByName(last)
+
+    def append(self, changed: DataFrame, piece_rows: int = PIECE_ROWS) -> Snapshot | None:
+        """Insert what a batch of changes adds. The work follows the batch and
+        what is tracked at or after its places, not the satellite. A batch that
+        was appended before adds nothing. Returns None if nothing was added."""
+        attributes, parent = self.satellite.attributes, self.table.snapshot()
+        new = cut(staged(changed, self.satellite), "staged")
+        near = self._near(parent, new)
+        # per place the highest offset counts; at one offset what is known already
+        parts = new.withColumns({"known": F.lit(False), "before": F.lit(False)}).unionByName(near.withColumn("known", F.lit(True)), allowMissingColumns=True)
+        best = F.max(F.struct("kafka_offset", "known", "hash_diff", "before", *attributes)).alias("b")
+        rows = parts.groupBy("customer_id", "place").agg(best, F.max("known").alias("again"))
+        rows = rows.select("customer_id", "place", "b.hash_diff", "b.kafka_offset", "b.known", "b.before", "again", *[f"b.{a}" for a in attributes])
+        rows = cut(rows, "resolved")
+        fresh = rows.filter(~F.col("known"))
+        if fresh.isEmpty():
+            discard(new, rows)
+            return None
+        changed_ = changes(rows, "customer_id", "place", "hash_diff", piece_rows).drop("next_position")
+        names = [*self._KEYS, *attributes]
+        insert = changed_.filter(~F.col("known")).select(*names)
+        # a message that outranks one at its place counts, whether a change or not
+        insert = insert.unionByName(fresh.filter("again").select(*names)).distinct()
+        if parent:
+            insert = insert.unionByName(self._revived(parent, changed_.filter("known and not before"), new))
+        dirs = {k: list(v) for k, v in parent.parts.items()} if parent else {"satellite": [], "tracking": []}
+        dirs["satellite"].append(self.table.stage(insert))
+        dirs["tracking"].append(self.table.stage(fresh.select(*self._KEYS)))
+        snap = self.table.commit(dirs, "append", parent)
+        discard(new, rows)
+        return snap
+
+    def _revived(self, parent: Snapshot, rows: DataFrame, new: DataFrame) -> DataFrame:
+        """Tracked rows that have become changes and that the satellite lacks,
+        with their attributes, which an earlier row of equal hash diff has."""
+        names = [*self._KEYS, *self.satellite.attributes]
+        have = self.table.read(parent.id, ["satellite"])
+        at = have.select(*[F.col(k).alias(f"__{k}") for k in self._KEYS])
+        lacking = rows.select(*self._KEYS).join(at, [F.col(k) == F.col(f"__{k}") for k in self._KEYS], "left_anti")
+        values = have.unionByName(new).groupBy(F.col("customer_id").alias("__c"), F.col("hash_diff").alias("__h")).agg(*[F.max(a).alias(a) for a in self.satellite.attributes])
+        return lacking.join(values, (F.col("customer_id") == F.col("__c")) & (F.col("hash_diff") == F.col("__h"))).select(*names)
+
+
+def load(changed: DataFrame, satellite: Satellite, batches: int = 4, stamp: str = "ingested_at") -> SatelliteTable:
+    """A satellite filled by appending ``changed`` in batches by ``stamp``."""
+    spark = changed.sparkSession
+    needed = ["customer_id", "operation", "is_snapshot_baseline", "valid_from_lsn", "kafka_offset", stamp, *satellite.attributes]
+    table = SatelliteTable(spark, scratch_dir(spark, "satellite"), satellite)
+    parts = in_time_order(changed.select(*dict.fromkeys(needed)), F.col(stamp), batches)
+    for b in parts:
+        table.append(b)
+    discard(*parts[:1])
+    return table
 
 
 def versions(satellite_rows: DataFrame) -> DataFrame:
@@ -117,11 +203,10 @@ def versions(satellite_rows: DataFrame) -> DataFrame:
     )
 
 
-def satellite_view(satellite_rows: DataFrame, satellite: Satellite) -> DataFrame:
+def satellite_view(satellite_rows: DataFrame, satellite: Satellite, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``versions`` of stored insert-only rows: of rows at one place the highest
     offset counts, and rows that repeat their predecessor are passed over."""
     attributes = satellite.attributes
     best = satellite_rows.groupBy("customer_id", "place").agg(F.max(F.struct("kafka_offset", "hash_diff", *attributes)).alias("b"))
     rows = best.select("customer_id", "place", "b.hash_diff", "b.kafka_offset", *[f"b.{a}" for a in attributes])
-    cuts = quantile_cuts(satellite_rows.select(F.nullif("place", F.lit(BASELINE)).alias("place")), "place")
-    return versions(changes(rows, "customer_id", "place", "hash_diff", cuts).withColumnRenamed("next_position", "next_place"))
+    return versions(changes(rows, "customer_id", "place", "hash_diff", piece_rows).withColumnRenamed("next_position", "next_place"))

@@ -1,95 +1,77 @@
-"""Cutting long per-key sequences into bounded pieces.
+"""Cutting long ordered sequences into pieces of bounded size.
 
 One key may hold a third of all rows, so a window over (key) alone would put
-them into one task. Positions are cut at global quantiles instead: with ``n``
-segments no (key, segment) can hold much more than 1/n of the rows, however
-they are spread over keys, provided a key has one row per position.
+them into one task. Instead all rows are put into one global order (keys by
+their hash, then the position), sorted by range partitions, and the sorted
+partitions are cut every ``PIECE_ROWS`` rows. No piece holds more than that,
+whatever the number of rows and however they are spread over keys: a key with
+many rows lies in many pieces, many small keys share one. What happens across
+the borders of pieces is settled on one summary row per piece.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows aimed at in a segment, and the limits of their number.
-SEGMENT_ROWS, LEAST, MOST = 250_000, 8, 1024
+from ..runtime import cut
 
+#: Most rows of a piece.
+PIECE_ROWS = 200_000
 
-def quantile_cuts(positions: DataFrame, column: str, least: int = LEAST) -> list[int]:
-    """Ascending positions that cut the rows into even segments, more of them
-    the more rows there are (null positions count as rows); one pass."""
-    # as text: thousands of literals made one by one take seconds
-    shares = ",".join(f"{i / MOST}D" for i in range(1, MOST))
-    fine = F.expr(f"percentile_approx(p, array({shares}), 10000)")
-    rows, found = positions.select(F.col(column).alias("p")).agg(F.count("*"), fine).first()
-    n = max(least, min(MOST, rows // SEGMENT_ROWS))
-    return sorted({found[i * MOST // n - 1] for i in range(1, n)}) if found else []
+_ROW_BITS = 33  # of monotonically_increasing_id: partition above, row below
 
 
-def segment(position: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below ``position``, by a two-level search."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    at = F.size(F.filter(heads, lambda x: x <= position))
-    inside = F.size(F.filter(F.get(table, F.greatest(at - 1, F.lit(0))), lambda x: x <= position))
-    return F.when(at == 0, 0).otherwise((at - 1) * step + inside)
+def in_pieces(rows: DataFrame, order: Sequence[str | Column], size: int = PIECE_ROWS, piece: str = "__piece", name: str = "pieces") -> DataFrame:
+    """``rows`` with a long ``piece``; pieces ascend in the given order and hold
+    at most ``size`` rows. Written once, so that every reader sees the same
+    pieces. The number of range partitions is the session's, so the cut, not the
+    sample behind the range bounds, is what bounds a piece."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(piece, F.monotonically_increasing_id())
+    row = F.col(piece).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return cut(placed.withColumn(piece, F.col(piece) - row % size), name)
 
 
-def segment_of(position: int, cuts: list[int]) -> int:
-    """The same in Python, for tests."""
-    return bisect_right(cuts, position)
+def by_key(key: str) -> list[Column]:
+    """Order that brings the rows of a key together, keys spread by their hash."""
+    return [F.xxhash64(key), F.col(key)]
 
 
-def changes(rows: DataFrame, key: str, position: str, state: str, cuts: list[int]) -> DataFrame:
-    """Rows of each key whose ``state`` differs from the row before, with
-    ``next_position``: that of the key's next such row (null for the last).
+def _beside(placed: DataFrame, key: str, position: str, wanted: list[str], name: str, ahead: bool) -> DataFrame:
+    """``placed`` (rows with a ``__piece``) with a struct of the ``wanted``
+    columns of the key's row before or after by ``position``."""
+    inner = Window.partitionBy("__piece").orderBy(*by_key(key), position)
+    over = Window.partitionBy(F.lit(0)).orderBy("__piece")  # one row per piece
+    step = F.lead if ahead else F.lag
+    beside, place = F.struct(F.col(key).alias("__k"), *wanted), F.struct(*by_key(key), F.col(position))
+    edge = placed.groupBy("__piece").agg((F.min_by if ahead else F.max_by)(beside, place).alias("edge"))
+    outer = edge.select(F.col("__piece").alias("__p"), step("edge").over(over).alias("__outer"))
+    inside = placed.withColumn("__inside", step(beside).over(inner))
+    joined = inside.join(outer, F.col("__piece") == F.col("__p")).withColumn("__at", F.coalesce("__inside", "__outer"))
+    found = F.when(F.col("__at").isNotNull() & F.col("__at.__k").eqNullSafe(F.col(key)), F.struct(*[F.col(f"__at.{w}").alias(w) for w in wanted]))
+    return joined.withColumn(name, found).drop("__inside", "__outer", "__at", "__p")
+
 
-    Needs one row per (key, position). Each (key, segment) is compared on its
-    own; then one summary row per (key, segment) settles what happens across
-    segment borders."""
-    rows = rows.withColumn("__seg", segment(F.col(position), cuts))
-    inner = Window.partitionBy(key, "__seg").orderBy(position)
-    kept = (
-        rows.withColumn("__prev", F.lag(F.struct(state)).over(inner))
-        .withColumn("__first", F.col("__prev").isNull())
-        .filter(F.col("__first") | ~F.col("__prev")[state].eqNullSafe(F.col(state)))
-        .withColumn("__next", F.lead(position).over(inner))
-        .drop("__prev")
-    )
-    outer = Window.partitionBy(key).orderBy("__seg")
-    borders = kept.groupBy(key, "__seg").agg(
-        F.min(position).alias("__p1"),
-        F.min(F.when(~F.col("__first"), F.col(position))).alias("__p2"),
-        F.min_by(F.struct(state), position).alias("__s1"),
-        F.max_by(F.struct(state), position).alias("__s9"),
-    )
-    before = F.lag("__s9").over(outer)
-    borders = borders.withColumn("__opens", before.isNull() | ~before[state].eqNullSafe(F.col("__s1")[state]))
-    borders = borders.withColumn("__entry", F.when(F.col("__opens"), F.col("__p1")).otherwise(F.col("__p2")))
-    borders = borders.withColumn("__later", F.min("__entry").over(outer.rowsBetween(1, Window.unboundedFollowing)))
-    return (
-        kept.join(borders.select(F.col(key).alias("__k"), F.col("__seg").alias("__g"), "__opens", "__later"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__seg") == F.col("__g")))
-        .filter(~F.col("__first") | F.col("__opens"))
-        .withColumn("next_position", F.coalesce("__next", "__later"))
-        .drop("__seg", "__first", "__next", "__k", "__g", "__opens", "__later")
-    )
-
-
-def next_row(rows: DataFrame, key: str, position: str, wanted: list[str], cuts: list[int], name: str = "next") -> DataFrame:
+def next_row(rows: DataFrame, key: str, position: str, wanted: list[str], name: str = "next", size: int = PIECE_ROWS) -> DataFrame:
     """``rows`` with a struct ``name`` of the ``wanted`` columns of the key's next
     row by ``position`` (null for the last): lead() that no hot key can overload.
     Needs one row per (key, position)."""
-    rows = rows.withColumn("__seg", segment(F.col(position), cuts))
-    inner = Window.partitionBy(key, "__seg").orderBy(position)
-    outer = Window.partitionBy(key).orderBy("__seg")
-    inside = rows.withColumn("__inside", F.lead(F.struct(*wanted)).over(inner))
-    firsts = rows.groupBy(key, "__seg").agg(F.min_by(F.struct(*wanted), position).alias("__first"))
-    firsts = firsts.withColumn("__later", F.lead("__first").over(outer)).select(F.col(key).alias("__k"), F.col("__seg").alias("__g"), "__later")
-    joined = inside.join(firsts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__seg") == F.col("__g")))
-    return joined.withColumn(name, F.coalesce("__inside", "__later")).drop("__seg", "__inside", "__later", "__k", "__g")
+    return _beside(in_pieces(rows, [*by_key(key), position], size), key, position, wanted, name, True).drop("__piece")
+
+
+def previous_row(rows: DataFrame, key: str, position: str, wanted: list[str], name: str = "previous", size: int = PIECE_ROWS) -> DataFrame:
+    """The same with the row before: lag()."""
+    return _beside(in_pieces(rows, [*by_key(key), position], size), key, position, wanted, name, False).drop("__piece")
+
+
+def changes(rows: DataFrame, key: str, position: str, state: str, size: int = PIECE_ROWS) -> DataFrame:
+    """Rows of each key whose ``state`` differs from the row before, with
+    ``next_position``: that of the key's next such row (null for the last).
+    Needs one row per (key, position)."""
+    marked = _beside(in_pieces(rows, [*by_key(key), position], size), key, position, [state], "__before", False)
+    same = F.col("__before").isNotNull() & F.col("__before")[state].eqNullSafe(F.col(state))
+    kept = _beside(marked.filter(~same).drop("__before"), key, position, [position], "__next", True)
+    return kept.withColumn("next_position", F.col("__next")[position]).drop("__next", "__piece")

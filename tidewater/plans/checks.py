@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..operators.segments import next_row, quantile_cuts
+from ..operators.segments import next_row
 from ..sources.specs import CAPTURED, SPECS, TOPIC
 from .models import realized
 
@@ -143,8 +143,7 @@ def versions_do_not_overlap(dim: DataFrame) -> DataFrame:
     base, start, end = F.col("is_snapshot_baseline"), F.col("valid_from_lsn"), F.col("valid_to_lsn")
     place = F.when(base, F.lit(-(2**63))).otherwise(F.coalesce(start, F.lit(-(2**63) + 1))).cast("bigint")
     same = dim.groupBy("customer_id", place.alias("place")).agg(F.count("*").alias("n"), F.max(F.coalesce(end, F.lit(2**63 - 1))).alias("ends"), F.max(F.struct("customer_key")).alias("v"))
-    cuts = quantile_cuts(dim.select("valid_from_lsn"), "valid_from_lsn")
-    chain = next_row(same, "customer_id", "place", ["place"], cuts, "after")
+    chain = next_row(same, "customer_id", "place", ["place"], "after")
     crossing = chain.filter((F.col("n") > 1) | (F.col("after.place") < F.col("ends"))).select("customer_id", F.col("v.customer_key").alias("customer_key"))
     alone = fails(dim, (base & start.isNotNull()) | (~base & start.isNull()) | F.coalesce(end <= start, F.lit(False))).select("customer_id", "customer_key")
     return crossing.unionByName(alone)

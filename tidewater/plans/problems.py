@@ -42,7 +42,7 @@ def p3_rows(spark, d):
 
 def _versions(spark, d, which):
     s = satellites.CUSTOMER_SATELLITES[which]
-    return satellites.versions(satellites.build(table(spark, d, "int_cdc_customer_versions"), s))
+    return satellites.satellite_view(satellites.load(table(spark, d, "int_cdc_customer_versions"), s).rows(), s)
 
 
 def p4_found(spark, d):

@@ -7,6 +7,9 @@ laptop) is a temporary folder made and set.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -31,13 +34,51 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch folders of this process that are still there.
+_SCRATCH: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """``new_dir`` for what nobody needs once the process ends; deleted then, or
+    earlier by ``discard``."""
+    path = new_dir(spark, name)
+    if not _SCRATCH:
+        atexit.register(_discard_all)
+    _SCRATCH.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and a lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
-    path = new_dir(spark, name)
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | str | None) -> None:
+    """Delete the folders of cuts that nothing reads any more."""
+    for f in frames:
+        path = getattr(f, "_scratch", f)
+        if isinstance(path, str) and path in _SCRATCH:
+            spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+            Files(spark, path).delete(path)
+            _SCRATCH.discard(path)
+
+
+def _discard_all() -> None:
+    """At the end of the process: through Hadoop while the session lives, and
+    what is on a local file system without it."""
+    for path in list(_SCRATCH):
+        with contextlib.suppress(Exception):
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
+            elif spark := SparkSession.getActiveSession():
+                Files(spark, path).delete(path)
+    _SCRATCH.clear()
 
 
 class Files:

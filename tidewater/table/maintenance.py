@@ -127,8 +127,8 @@ def expire(table: SnapshotTable, older_than_days: int = 30, keep: int = 10, conf
         return {"snapshots": [s.id for s in gone], "folders": []}
     before = table.ref_map()
     ids = {s.id for s in gone}
-    used = {d for s in table.log() if s.id not in ids for ds in s.parts.values() for d in ds}
-    drop = sorted({d for s in gone for ds in s.parts.values() for d in ds} - used)
+    used = {d for s in table.log() if s.id not in ids for d in s.folders()}
+    drop = sorted({d for s in gone for d in s.folders()} - used)
     for s in gone:
         table.files_.delete(f"{table.root}/_log/{s.id:010d}.json")
     for d in drop:

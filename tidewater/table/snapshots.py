@@ -38,6 +38,11 @@ class Snapshot:
     summary: dict = field(default_factory=dict)
     #: partition value -> data folders relative to the table root
     parts: dict[str, list[str]] = field(default_factory=dict)
+    #: name -> folders of what belongs to the rows, such as an index
+    aux: dict[str, list[str]] = field(default_factory=dict)
+
+    def folders(self) -> set[str]:
+        return {d for named in (self.parts, self.aux) for ds in named.values() for d in ds}
 
 
 class SnapshotTable:
@@ -116,6 +121,13 @@ class SnapshotTable:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{d}" for d in dirs])
 
     # -- writes -------------------------------------------------------------
+    def stage(self, df: DataFrame) -> str:
+        """Write ``df`` into a fresh data folder, not visible before a commit
+        names it."""
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder
+
     def _write(self, df: DataFrame) -> dict[str, list[str]]:
         """Data folders by partition, without making them visible."""
         names, by = self.schema.fieldNames(), self.partition_by
@@ -135,9 +147,11 @@ class SnapshotTable:
                 found[value] = [f"{folder}/{name}"]
         return found
 
-    def commit(self, parts: dict[str, list[str]], operation: str, parent: Snapshot | None, summary: dict | None = None) -> Snapshot:
-        """Publish ``parts`` as the successor of ``parent``, or raise CommitConflict."""
-        snap = Snapshot((parent.id if parent else 0) + 1, parent.id if parent else None, int(time.time() * 1000), operation, summary or {}, parts)
+    def commit(self, parts: dict[str, list[str]], operation: str, parent: Snapshot | None, summary: dict | None = None, aux: dict[str, list[str]] | None = None) -> Snapshot:
+        """Publish ``parts`` as the successor of ``parent``, or raise
+        CommitConflict. ``aux`` folders are those of the parent unless given."""
+        aux = (parent.aux if parent else {}) if aux is None else aux
+        snap = Snapshot((parent.id if parent else 0) + 1, parent.id if parent else None, int(time.time() * 1000), operation, summary or {}, parts, aux)
         if not self.files_.create_text(f"{self.root}/_log/{snap.id:010d}.json", json.dumps(asdict(snap))):
             raise CommitConflict(f"snapshot {snap.id} of {self.root} was committed by another writer")
         return snap

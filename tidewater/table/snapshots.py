@@ -40,6 +40,8 @@ class Snapshot:
     parts: dict[str, list[str]] = field(default_factory=dict)
     #: name -> folders of what belongs to the rows, such as an index
     aux: dict[str, list[str]] = field(default_factory=dict)
+    #: what writers remember from commit to commit
+    state: dict = field(default_factory=dict)
 
     def folders(self) -> set[str]:
         return {d for named in (self.parts, self.aux) for ds in named.values() for d in ds}
@@ -128,30 +130,32 @@ class SnapshotTable:
         df.write.parquet(f"{self.root}/{folder}")
         return folder
 
-    def _write(self, df: DataFrame) -> dict[str, list[str]]:
-        """Data folders by partition, without making them visible."""
+    def _write(self, df: DataFrame, within: str | None = None) -> dict[str, list[str]]:
+        """Data folders by partition, without making them visible; a folder for
+        each value of the column ``within`` as well, if given."""
         names, by = self.schema.fieldNames(), self.partition_by
         folder = f"data/{uuid.uuid4().hex}"
-        df = df.select(*names)
+        df = df.select(*names, *([within] if within else []))
         if by is None:
             df.write.parquet(f"{self.root}/{folder}")
             return {"": [folder]}
         key = F.coalesce(F.col(by).cast("string"), F.lit(NULL_PARTITION))
         # without this every shuffle partition would write a file into every
         # table partition; AQE splits the large ones and joins the small
-        df.withColumn(_DIR, key).hint("rebalance", F.col(_DIR)).write.partitionBy(_DIR).parquet(f"{self.root}/{folder}")
+        df.withColumn(_DIR, key).hint("rebalance", F.col(_DIR)).write.partitionBy(_DIR, *([within] if within else [])).parquet(f"{self.root}/{folder}")
         found = {}
         for name, is_dir, _ in self.files_.list(f"{self.root}/{folder}"):
             if is_dir and name.startswith(_DIR + "="):
                 value = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[len(_DIR) + 1 :])
-                found[value] = [f"{folder}/{name}"]
+                found[value] = [f"{folder}/{name}/{sub}" for sub, d, _ in self.files_.list(f"{self.root}/{folder}/{name}") if d] if within else [f"{folder}/{name}"]
         return found
 
-    def commit(self, parts: dict[str, list[str]], operation: str, parent: Snapshot | None, summary: dict | None = None, aux: dict[str, list[str]] | None = None) -> Snapshot:
+    def commit(self, parts: dict[str, list[str]], operation: str, parent: Snapshot | None, summary: dict | None = None, aux: dict[str, list[str]] | None = None, state: dict | None = None) -> Snapshot:
         """Publish ``parts`` as the successor of ``parent``, or raise
-        CommitConflict. ``aux`` folders are those of the parent unless given."""
+        CommitConflict. ``aux`` and ``state`` are the parent's unless given."""
         aux = (parent.aux if parent else {}) if aux is None else aux
-        snap = Snapshot((parent.id if parent else 0) + 1, parent.id if parent else None, int(time.time() * 1000), operation, summary or {}, parts, aux)
+        state = (parent.state if parent else {}) if state is None else state
+        snap = Snapshot((parent.id if parent else 0) + 1, parent.id if parent else None, int(time.time() * 1000), operation, summary or {}, parts, aux, state)
         if not self.files_.create_text(f"{self.root}/_log/{snap.id:010d}.json", json.dumps(asdict(snap))):
             raise CommitConflict(f"snapshot {snap.id} of {self.root} was committed by another writer")
         return snap

@@ -382,6 +382,31 @@ def test_hierarchy_against_brute_force(spark, bucket):
         assert pairs.count() == sum(r.depth + 1 for r in found.collect() if r.depth >= 0)
 
 
+@pytest.mark.parametrize("shape", ["star", "hub below a chain", "ring with tails"])
+def test_no_bucket_of_links_outgrows_its_bound(spark, shape, monkeypatch):
+    """However many nodes point at one, and however deep it lies."""
+    n, bound = 3_000, 300
+    parent = {
+        "star": {i: 0 if i else None for i in range(n)},
+        "hub below a chain": {i: i - 1 if 0 < i < 400 else 399 if i else None for i in range(n)},
+        "ring with tails": {i: (i + 1) % 500 if i < 500 else 7 for i in range(n)},
+    }[shape]
+    sizes, pieces = [], hierarchy.in_pieces
+
+    def watched(*args):
+        out = pieces(*args)
+        sizes.extend(r["count"] for r in out.groupBy("bucket").count().collect())
+        return out
+
+    monkeypatch.setattr(hierarchy, "in_pieces", watched)
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent long")
+    found = hierarchy.roots(nodes, bound, hot_rows=100)
+    assert {r.id: (r.root, r.depth) for r in found.collect()} == roots_by_hand(parent)
+    assert (max(sizes) <= bound and len(sizes) > 5) or shape == "star"
+    if shape == "hub below a chain":
+        assert all(r.path == [*range(400), r.id][: r.depth + 1] or r.id < 400 and r.path == [*range(r.id + 1)] for r in hierarchy.paths(nodes, found, hot_rows=100).collect())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_paths_and_descendants_of_rings_against_brute_force(spark, seed):
     rng = random.Random(seed)

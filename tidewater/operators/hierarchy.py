@@ -3,15 +3,18 @@
 Every node has at most one parent, so links form trees and rings. A weighted
 disjoint-set forest finds them: within a bucket of links each node is pointed
 at the farthest ancestor the bucket knows, with the number of steps (offset) and
-the smallest id passed. Buckets are merged hierarchically: each level looks the
-pointed-at ancestor up in the level's results (which joins two sets and adds
-their offsets), drops what is settled, and puts the rest into fewer buckets,
-until all that is left fits in one bucket of bounded size. A ring is a chain
-that comes back to its start; its id is the smallest id passed.
+the smallest id passed. Buckets are ranges of ids with at most ``BUCKET_LINKS``
+links each, whoever their parents are. They are merged hierarchically: each
+level looks the pointed-at ancestor up in the level's results (which joins two
+sets and adds their offsets), drops what is settled, and cuts the rest into
+buckets anew, each of a wider range of ids, until all that is left fits in one.
+A ring is a chain that comes back to its start; its id is the smallest id passed.
 
 Looking up doubles every chain, so log2(chain) levels settle all trees however
 the links are spread; what is unsettled after more levels than log2(nodes) lies
-on, or runs into, a ring that has been passed whole.
+on, or runs into, a ring that has been passed whole. An ancestor that many nodes
+point at is looked up by salted rows (``relational.lookup``). A row is written
+again only while it is unsettled.
 
 Edge cases: a category's rows of the latest ``_batch_date`` hold, and of those
 the latest ``_ingested_at``, then the larger row position; null ids are left
@@ -21,15 +24,15 @@ own parent is a ring of one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, discard
+from .relational import HOT_ROWS, lookup
+from .segments import in_pieces
 
-#: Links that one task may hold: about 100 MB of Python integers and dicts.
-BUCKET_LINKS = 400_000
+#: Most links of a bucket.
+BUCKET_LINKS = 25_000
 
 _STATE = "id long, anchor long, steps long, low long, done boolean, ring boolean"
 
@@ -76,12 +79,11 @@ def merge_bucket(pdf):
     return pd.DataFrame(rows, columns=["id", "anchor", "steps", "low", "done", "ring"])
 
 
-def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS) -> DataFrame:
+def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, root, depth) of (id, parent) rows with unique ids. Depth -1 marks a
     chain that never ends; root is then the smallest id of its ring."""
-    spark = nodes.sparkSession
-    p = nodes.select(F.col("id").alias("__p"))
-    linked = nodes.select("id", "parent").join(p, F.col("parent") == F.col("__p"), "left")
+    links = nodes.select("id", "parent")
+    linked = lookup(links, "parent", nodes.select(F.col("id").alias("__p")), "__p", hot_rows=hot_rows)
     anchor = F.coalesce("__p", "id")
     state = linked.select(
         "id",
@@ -92,22 +94,17 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS) -> DataFrame:
         F.lit(False).alias("ring"),
     )
     state = cut(state, "links")
-    total = state.count()
-    buckets = -(-total // bucket_links)
-    for level in range(total.bit_length() + 2):
+    written, settled = [state], state.filter("done")
+    for _ in range(state.count().bit_length() + 2):
         waiting = state.filter("not done")
         n = waiting.count()
         if n == 0:
             break
-        # buckets shrink level by level, and what fits goes into one
-        k = 1 if n <= bucket_links else max(-(-n // bucket_links), buckets >> level)
-        settled = state.filter("done")
-        bucket = F.pmod(F.xxhash64("anchor", F.lit(level)), F.lit(k)) if level % 2 else F.pmod(F.xxhash64("id", F.lit(level)), F.lit(k))
-        merged = waiting.groupBy(bucket.alias("b")).applyInPandas(merge_bucket, _STATE)
-        merged = cut(merged, "merged")
+        placed = in_pieces(waiting, ["id"], bucket_links, "bucket", "buckets", -(-n // bucket_links))
+        merged = cut(placed.groupBy("bucket").applyInPandas(merge_bucket, _STATE), "merged")
+        discard(placed)
         known = merged.unionByName(settled).select(F.col("id").alias("__i"), F.col("anchor").alias("__a"), F.col("steps").alias("__s"), F.col("low").alias("__l"), F.col("done").alias("__d"), F.col("ring").alias("__r"))
-        open_ = merged.filter("not done").join(known, F.col("anchor") == F.col("__i"), "left")
-        moved = open_.select(
+        moved = lookup(merged.filter("not done"), "anchor", known, "__i", hot_rows=hot_rows).select(
             "id",
             F.coalesce("__a", "anchor").alias("anchor"),
             (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"),
@@ -115,21 +112,21 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS) -> DataFrame:
             F.coalesce("__d", F.lit(True)).alias("done"),
             F.coalesce("__r", F.lit(False)).alias("ring"),
         )
-        state = cut(moved.unionByName(merged.filter("done")).unionByName(settled), "links")
+        state = cut(moved, "links")
+        written += [merged, state]
+        settled = settled.unionByName(merged.filter("done")).unionByName(state.filter("done"))
     # unsettled after all levels: the chain has passed its whole ring; the
     # anchor lies on it, and what the anchor passed is that ring
-    ring = state.filter("not done")
-    lows = ring.select(F.col("id").alias("__i"), F.col("low").alias("__l"))
-    rest = ring.join(lows, F.col("anchor") == F.col("__i")).select("id", F.col("__l").alias("anchor"), F.lit(0).cast("long").alias("steps"), "low", F.lit(True).alias("done"), F.lit(True).alias("ring"))
-    out = state.filter("done").unionByName(rest)
-    return out.select("id", F.col("anchor").alias("root"), F.when(F.col("ring"), -1).otherwise(F.col("steps")).cast("long").alias("depth"))
-
-
-def _jump(state: DataFrame, parents: DataFrame) -> DataFrame:
-    return state.join(parents, F.col("anchor") == F.col("__i"), "left")
+    left = state.filter("not done")
+    lows = left.select(F.col("id").alias("__i"), F.col("low").alias("__l"))
+    rest = lookup(left, "anchor", lows, "__i", "inner", hot_rows).select("id", F.col("__l").alias("anchor"), "steps", "low", "done", F.lit(True).alias("ring"))
+    out = settled.unionByName(rest).select("id", F.col("anchor").alias("root"), F.when(F.col("ring"), -1).otherwise(F.col("steps")).cast("long").alias("depth"))
+    out = cut(out, "roots")
+    discard(*written)
+    return out
 
 
-def paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, found: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, root, depth, path): the ids from the root down to the node. Nodes on
     or before a ring have no path (null). The parent index is traversed by
     doubling: each round looks up the ancestor reached so far and puts that
@@ -139,7 +136,9 @@ def paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
     state = state.select("id", "root", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("anchor"), F.array("id").alias("path"))
     for _ in range(int(depth).bit_length()):
         index = state.select(F.col("id").alias("__i"), F.col("anchor").alias("__a"), F.col("path").alias("__p"))
-        state = cut(_jump(state, index).select("id", "root", "depth", F.col("__a").alias("anchor"), F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", "path")).alias("path")), "paths")
+        longer = F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", "path")).alias("path")
+        before, state = state, cut(lookup(state, "anchor", index, "__i", hot_rows=hot_rows).select("id", "root", "depth", F.col("__a").alias("anchor"), longer), "paths")
+        discard(before)
     rings = found.filter("depth < 0").select("id", "root", "depth", F.lit(None).cast("array<bigint>").alias("path"))
     return state.select("id", "root", "depth", "path").unionByName(rings)
 
@@ -163,9 +162,9 @@ def whole_paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
     p = cut(paths(opened, roots(opened)).select("id", "root", "path"), "opened")
     # the parent of a ring's smallest id is the last on its path, which is the ring
     last = looped.filter("id = root").select(F.col("parent").alias("id"))
-    rings = p.join(last, "id").select("root", F.col("path").alias("__ring"))
+    rings = p.join(last, "id").select(F.col("root").alias("__root"), F.col("path").alias("__ring"))
     chain = F.concat(F.array_except("__ring", "path"), F.col("path"))
-    return trees.unionByName(p.join(rings, "root").select("id", "root", F.lit(-1).cast("long").alias("depth"), "path", chain.alias("chain")))
+    return trees.unionByName(lookup(p, "root", rings, "__root", "inner").select("id", "root", F.lit(-1).cast("long").alias("depth"), "path", chain.alias("chain")))
 
 
 def whole_descendants(with_chains: DataFrame) -> DataFrame:

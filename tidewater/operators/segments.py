@@ -24,13 +24,13 @@ PIECE_ROWS = 200_000
 _ROW_BITS = 33  # of monotonically_increasing_id: partition above, row below
 
 
-def in_pieces(rows: DataFrame, order: Sequence[str | Column], size: int = PIECE_ROWS, piece: str = "__piece", name: str = "pieces") -> DataFrame:
+def in_pieces(rows: DataFrame, order: Sequence[str | Column], size: int = PIECE_ROWS, piece: str = "__piece", name: str = "pieces", partitions: int | None = None) -> DataFrame:
     """``rows`` with a long ``piece``; pieces ascend in the given order and hold
     at most ``size`` rows. Written once, so that every reader sees the same
-    pieces. The number of range partitions is the session's, so the cut, not the
-    sample behind the range bounds, is what bounds a piece."""
+    pieces. The number of range partitions is the session's if not given, so the
+    cut, not the sample behind the range bounds, is what bounds a piece."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(piece, F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).withColumn(piece, F.monotonically_increasing_id())
     row = F.col(piece).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return cut(placed.withColumn(piece, F.col(piece) - row % size), name)
 

@@ -26,19 +26,18 @@ def entity_id(key_json: Column) -> Column:
     return F.regexp_extract(key_json, r':\s*"?(-?[0-9]+)"?\s*}', 1).try_cast("bigint")
 
 
-def fold(changes: DataFrame, payload: str | None = "after_json", base: DataFrame | None = None) -> DataFrame:
+def fold(changes: DataFrame, payload: str = "after_json", base: DataFrame | None = None) -> DataFrame:
     """State after ``changes`` on top of ``base`` (a state made by this function).
     Columns: source_table, entity_id, last struct(streamed, lsn, kafka_offset,
-    operation, payload). Without payload the shuffle carries numbers only."""
+    operation, payload)."""
     op = F.lower(F.trim(F.col("operation")))
     streamed = F.coalesce(op != "r", F.lit(True))
-    carried = F.col(payload) if payload else F.lit(None).cast("string")
     last = F.struct(
         streamed.alias("streamed"),
         F.when(streamed, F.col("source_lsn")).alias("lsn"),
         F.col("kafka_offset").alias("kafka_offset"),
         op.alias("operation"),
-        carried.alias("payload"),
+        F.col(payload).alias("payload"),
     )
     rows = changes.select("source_table", entity_id(F.col("key_json")).alias("entity_id"), last.alias("last"))
     rows = rows.filter(F.col("entity_id").isNotNull())

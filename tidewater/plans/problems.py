@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cdc_fold, deliveries, hierarchy, pit_asof, rejects, satellites
+from ..operators import cdc_fold, deliveries, hierarchy, pit_asof, rejects, relational, satellites
+from ..runtime import cut, discard
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,16 +35,27 @@ def p2_found(spark, d):
     return pit_asof.in_force(table(spark, d, "fact_orders"), table(spark, d, "dim_customer"))
 
 
-def _state(spark, d, payload):
-    return cdc_fold.live(cdc_fold.fold(table(spark, d, "postgres_cdc_events"), payload))
+def _state(spark, d):
+    return cdc_fold.live(cdc_fold.fold(table(spark, d, "postgres_cdc_events")))
 
 
 def p3_found(spark, d):
-    return _state(spark, d, None).select("source_table", "entity_id", "kafka_offset")
+    return _state(spark, d).select("source_table", "entity_id", "kafka_offset")
 
 
 def p3_rows(spark, d):
-    return _state(spark, d, "after_json").select("source_table", "entity_id", "source_lsn", F.md5("after_json").alias("after_md5"))
+    return _state(spark, d).select("source_table", "entity_id", "source_lsn", F.md5("after_json").alias("after_md5"))
+
+
+def p3_batches(spark, d):
+    """The same, the feed folded batch by batch onto the stored state."""
+    changes = table(spark, d, "postgres_cdc_events").select("source_table", "operation", "source_lsn", "kafka_offset", "key_json", "after_json", "ingested_at")
+    parts, state = relational.in_time_order(changes, F.col("ingested_at"), 4), None
+    for rows in parts:
+        before, state = state, cut(cdc_fold.fold(rows, base=state), "state")
+        discard(before)
+    discard(*parts[:1])
+    return cdc_fold.live(state).select("source_table", "entity_id", "kafka_offset", "source_lsn", F.md5("after_json").alias("after_md5"))
 
 
 def _versions(spark, d, which):
@@ -123,7 +135,7 @@ def _typed(source):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, ledger_replay, p2_found, p3_found, p3_rows, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files, p6_inexact)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, ledger_replay, p2_found, p3_found, p3_rows, p3_batches, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files, p6_inexact)}
 QUERIES |= {f"p6_typed_{s.replace('-', '_')}": _typed(s) for s in ("supplier-prices", "partner-products", "historical-orders", "supplier-stock")}
 
 _MESSAGES = "select *, coalesce(sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset), lower(trim(event_id))) mid from postgres_cdc_events"
@@ -225,6 +237,7 @@ select order_id, customer_key from j where rn = 1 and (t is null or t > lsn)
 union all select o.order_id, v.customer_key from o join v on o.cid = v.customer_id and v.b where o.b""",
     "p3_found": f"select source_table, entity_id, kafka_offset from ({_RANKED}) where rn = 1 and operation <> 'd'",
     "p3_rows": f"select source_table, entity_id, case when operation <> 'r' then source_lsn end source_lsn, md5(after_json) after_md5 from ({_RANKED}) where rn = 1 and operation <> 'd'",
+    "p3_batches": f"select source_table, entity_id, kafka_offset, case when operation <> 'r' then source_lsn end source_lsn, md5(after_json) after_md5 from ({_RANKED}) where rn = 1 and operation <> 'd'",
     "p4_found": _satellite_sql(["segment", "customer_status"]).format(""),
     "p4_place": _satellite_sql(["region", "city"]).format(", region, city"),
     "p4_change_rates": " union all ".join(f"select '{a}' attribute, count(*) versions from ({_satellite_sql([a]).format('')})" for a in _ATTRIBUTES),

@@ -218,6 +218,15 @@ def mart_marketing_roi(campaigns):
     })
 
 
+def channel_kpis(roi: DataFrame) -> DataFrame:
+    """Campaign figures by channel: ratios of sums, not means of ratios."""
+    a = roi.groupBy("channel").agg(F.count("*").alias("campaigns"), *[F.sum(c).alias(c) for c in ("impressions", "clicks", "spend_eur", "budget_eur")])
+    views, clicks = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("impressions", "clicks"))
+    spend = F.col("spend_eur").cast("double")
+    used = F.when(F.col("budget_eur") != 0, F.col("spend_eur") / F.col("budget_eur"))
+    return a.withColumns({"ctr": F.col("clicks").cast("double") / views, "cpc_eur": spend / clicks, "cpm_eur": spend * 1000 / views, "budget_utilization": used})
+
+
 # -- building --------------------------------------------------------------
 
 

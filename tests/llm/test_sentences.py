@@ -2,7 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.sentences import blocks, sentences, units
+from tidewater.llm.sentence_rules import LANGUAGES
+from tidewater.llm.sentences import blocks, languages, sentences, units
 
 
 def split(text):
@@ -38,6 +39,45 @@ CASES = {
 }
 
 
+CASES |= {
+    "forgotten space": ("It shakes the hub.Does anyone know why? Open main.tv or Foo.Bar first.The end", ["It shakes the hub.", "Does anyone know why?", "Open main.tv or Foo.Bar first.", "The end"]),
+    "armenian": ("Բարեւ ձեզ։ Ինչպես եք։ Լավ", ["Բարեւ ձեզ։", "Ինչպես եք։", "Լավ"]),
+    "ethiopic": ("ሰላም ነው። ደህና ነህ፧ አዎ", ["ሰላም ነው።", "ደህና ነህ፧", "አዎ"]),
+    "burmese": ("မင်္ဂလာပါ၊ ကျေးဇူး။နေကောင်းလား။", ["မင်္ဂလာပါ၊ ကျေးဇူး။", "နေကောင်းလား။"]),
+    "khmer": ("សួស្តី។ អរគុណ។", ["សួស្តី។", "អរគុណ។"]),
+    "tibetan": ("བཀྲ་ཤིས། བདེ་ལེགས།", ["བཀྲ་ཤིས།", "བདེ་ལེགས།"]),
+    "hindi without space": ("यह है।फिर \"जगह नहीं है। करें।\" और बंद।", ["यह है।", "फिर \"जगह नहीं है। करें।\" और बंद।"]),
+    "thai end mark": ("จบแล้ว๛ ต่อไป", ["จบแล้ว๛", "ต่อไป"]),
+}
+
+
+def test_tables_are_those_of_the_language():
+    """"ca." and "usw." are no abbreviations in English, nor "No." in German."""
+    assert split("Go to the ca. Ten of them.") == ["Go to the ca.", "Ten of them."]
+    assert split("Das sind ca. Zehn und mehr.") == ["Das sind ca. Zehn und mehr."]
+    told = [(a, b) for a, b in units("Go ca. Ten.", "en-US")]
+    assert told == [(0, 6), (7, 11)] and units("Go ca. Ten.") == [(0, 11)] == units("Go ca. Ten.", "th")
+    assert split("The other block is in English.\n\nGo ca. Ten.")[1:] == ["Go ca.", "Ten."]
+    nobody = lambda: ()
+    assert languages("これは漢字", nobody, None) == ("ja",) and languages("这是汉字", nobody, None) == ("zh",) and languages("한국어 ไทย", nobody, None) == ("ko", "th")
+    assert languages("der und die, the", nobody, None) == ("de",) and languages("xyz", nobody, "fr") == ("fr",) and languages("xyz", nobody, "xx") == ("en", "de", "fr", "es")
+    assert set(LANGUAGES) == {"en", "de", "fr", "es", "ru", "el", "ar", "hi", "zh", "ja", "ko", "th"}
+
+
+@pytest.mark.parametrize("part", ["It was new. ", "a (b. c) ", '"x. y" ', "ab...", "x\n", ". ", "字。", "`a.` ", "(", "the "])
+def test_time_is_linear(part):
+    import time
+
+    def took(n):
+        text = part * (n // len(part)) + "\n"
+        t = time.process_time()
+        units(text)
+        return time.process_time() - t
+
+    took(10_000)
+    assert took(160_000) < 6 * took(40_000) + 0.2
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     text, want = CASES[name]
@@ -61,6 +101,8 @@ def test_rows(spark):
     got = sorted((r.doc_id, r.sent_start, r.sent_end) for r in sentences(df).collect())
     assert got == sorted([(1, 0, 4), (1, 5, 9)] * 2 + [(5, 0, 300_001), (5, 302_002 - 2_000, 302_003 - 2_000)])
     assert sentences(df.limit(0)).collect() == []
+    stated = spark.createDataFrame([(1, "Go ca. Ten.", "en"), (2, "Go ca. Ten.", None)], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.sent_end) for r in sentences(stated).collect()) == [(1, 6), (1, 11), (2, 11)]
 
 
 LONG = "It was new. " * 200

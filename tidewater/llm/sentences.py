@@ -8,9 +8,11 @@ an end mark is judged by a cascade of break and no-break rules (see
 quotation, a bracket or inline code are not judged, and closing quotes and
 brackets stay with the sentence they close.
 
-Tables are chosen by the scripts found in the block, not by the language column,
-which may be missing or wrong. Where a block has no capitals at all, a table for
-such blocks comes first.
+Tables are those of the block's languages. A script that one language of the
+tables uses names it; among those in Latin script the function words of the
+block decide, then those of the whole text, then the language column, which may
+be missing or wrong; if nothing tells, all tables in Latin script apply. Where a
+block has no capitals at all, a table for such blocks comes first.
 
 Edge cases: null, empty and blank texts have no units; a fence that is never
 closed runs to the end of the text; text without an end mark runs to the end of
@@ -20,9 +22,10 @@ closed is text; the work per text is linear in its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sentence_rules as R
@@ -45,21 +48,56 @@ def _patterns():
     item = regex.compile(r"[^\S\r\n]{0,3}(?:[-*+•‣–]|(\d{1,3})[.)])[^\S\r\n]+(?=\S)")
     quotes = regex.compile(r"`+|[«»„“”「」『』（）《》【】()\[\]\"]")
     latin = regex.compile(r"\p{Latin}")
-    marks = regex.compile(r"[.!?…。！？｡．।॥؟۔]+|(?<=\p{Greek}[`\p{M}]*);|(?:ครับ|ค่ะ|คะ)(?=\s)|(?:[\p{Emoji_Presentation}️]|(?<=\s)(?:\^\^|[:;]-?[)(DP]))(?=\s+\p{Lu})")
-    scripts = [(name, regex.compile(pattern)) for name, (pattern, _) in R.SCRIPTS.items()]
-    return line, fence, item, quotes, latin, marks, scripts
+    # every sentence terminal but the Burmese comma
+    marks = regex.compile(rf"(?V1)[[.…．]||{R.TERMINAL}--[၊]]+" r"|(?<=\p{Greek}[`\p{M}]*);|(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=\s)|[๚๛]|(?:[\p{Emoji_Presentation}️]|(?<=\s)(?:\^\^|[:;]-?[)(DP]))(?=\s+\p{Lu})")
+    scripts: dict[str, list[str]] = {}
+    for code, language in R.LANGUAGES.items():
+        scripts.setdefault(language.script, []).append(code)
+    scripts = [(regex.compile(pattern), tuple(codes)) for pattern, codes in scripts.items()]
+    words = {w: c for c, t in reversed(R.LANGUAGES.items()) for w in t.function_words}
+    return line, fence, item, regex.compile(r"\p{Lu}"), words, quotes, latin, marks, scripts
+
+
+def _told(text: str) -> dict[str, int]:
+    """Function words of each language in Latin script."""
+    words = _compiled()[4]
+    out: dict[str, int] = {}
+    for w in text.lower().split():
+        if code := words.get(w):
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def _leading(counts: dict[str, int]) -> tuple[str, ...]:
+    """The language with most function words, and others with over half as many."""
+    most = max(counts.values(), default=0)
+    return tuple(c for c in R.LANGUAGES if counts.get(c, 0) * 2 > most) if most else ()
+
+
+def languages(body: str, whole: Callable[[], tuple[str, ...]], stated: str | None) -> tuple[str, ...]:
+    """Codes of the tables that apply to a block. ``whole`` gives the languages
+    that the function words of its text tell, ``stated`` is the language column."""
+    *_, scripts = _compiled()
+    out: tuple[str, ...] = ()
+    for pattern, codes in scripts:
+        if not pattern.search(body):
+            continue
+        if len(codes) > 1:
+            codes = _leading(_told(body)) or whole() or ((stated,) if stated in codes else codes)
+        out += codes
+    return tuple(c for c in out if c != "zh") if "ja" in out else out
 
 
-def _cascade(scripts: tuple[str, ...], small: bool):
+def _cascade(codes: tuple[str, ...], small: bool):
     """The cascade with neighbouring rules of one kind joined to one pattern."""
-    return kept(("cascade", scripts, small), lambda: _joined_rules(scripts, small))
+    return kept(("cascade", codes, small), lambda: _joined_rules(codes, small))
 
 
-def _joined_rules(scripts: tuple[str, ...], small: bool):
+def _joined_rules(codes: tuple[str, ...], small: bool):
     import regex
 
     groups: list[tuple[bool, list[str]]] = []
-    for stop, before, after in R.cascade(scripts, small):
+    for stop, before, after in R.cascade(codes, small):
         pattern = (f"(?<={before})" if before else "") + (f"(?={after})" if after else "")
         if groups and groups[-1][0] == stop:
             groups[-1][1].append(pattern)
@@ -186,11 +224,11 @@ def spans(body: str, skip: int = 0) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(text: str, start: int, end: int, skip: int, small: bool) -> list[int]:
+def _breaks(text: str, start: int, end: int, skip: int, small: bool, whole: Callable[[], tuple[str, ...]], stated: str | None) -> list[int]:
     """Places in [start, end) after which a new sentence starts."""
-    *_, marks, scripts = _compiled()
+    *_, marks, _ = _compiled()
     body = text[start:end]
-    rules = _cascade(tuple(name for name, p in scripts if p.search(body)), small)
+    rules = _cascade(languages(body, whole, stated), small)
     # with the place after which nothing but space comes before the closing mark
     inside = [(a, b, a + len(body[a : b - 1].rstrip())) for a, b in spans(body, skip)]
     last = len(body.rstrip())
@@ -217,17 +255,23 @@ def _breaks(text: str, start: int, end: int, skip: int, small: bool) -> list[int
     return out
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
+def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit, in code points, end exclusive."""
-    import regex
-
     if not text or not text.strip():
         return []
-    found = blocks(text)
+    capital, found = _compiled()[3], blocks(text)
+    told: list[tuple[str, ...]] = []  # asked for only where a block doesn't tell
+
+    def whole() -> tuple[str, ...]:
+        if not told:
+            told.append(_leading(_told(text)))
+        return told[0]
+
+    stated = (lang or "").strip()[:2].lower()
     out = []
     for s, e, skip in found:
-        small = skip >= 0 and not regex.search(r"\p{Lu}", text[s:e])
-        cuts = [s, *(_breaks(text, s, e, skip, small) if skip >= 0 else []), e]
+        small = skip >= 0 and not capital.search(text, s, e)
+        cuts = [s, *(_breaks(text, s, e, skip, small, whole, stated) if skip >= 0 else []), e]
         for a, b in zip(cuts, cuts[1:], strict=False):
             unit = text[a:b]
             left = len(unit) - len(unit.lstrip())
@@ -236,8 +280,9 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent_start, sent_end) of every unit of every text; no shuffle."""
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, sent_start, sent_end) of every unit of every text; no shuffle. The
+    column ``lang`` need not be there."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("sent_start", T.IntegerType()), T.StructField("sent_end", T.IntegerType())])
@@ -248,11 +293,12 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         arrow = to_arrow_schema(schema)
         for batch in batches:
             keys, starts, ends = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in units(t):
+            for k, t, stated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b in units(t, stated):
                     keys.append(k)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=arrow)
 
-    return docs.select(key, text).mapInArrow(split, schema)
+    stated = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    return docs.select(key, text, stated.alias("stated")).mapInArrow(split, schema)

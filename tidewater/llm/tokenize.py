@@ -1,8 +1,9 @@
 """Problem 7: encoding whole texts with a public byte-level BPE tokenizer.
 
-Ordinary texts are encoded in place, in Arrow batches, without a shuffle. A long
-text is cut into pieces that are encoded in parallel as rows of their own and
-put together again by tree concatenation.
+Texts are encoded in Arrow batches in one scan, without a shuffle. A long text is
+cut into pieces that are encoded in parallel by the task's threads and put
+together again by tree concatenation; it has to fit in a row anyway, so it is
+never sent over the network for that.
 
 Cuts are made where the tokenizer's own splitting pattern ends a word; there the
 ids of both sides simply follow each other. A word that is longer than a piece
@@ -29,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut
 from .kept import kept
 
 FOLDER = os.environ.get("TIDEWATER_TOKENIZERS", "/opt/tokenizers")
@@ -38,6 +38,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a piece of a long text, and of a run that is halved.
 PIECE, RUN = 65_536, 4_096
+#: Threads that encode the pieces of one long text.
+THREADS = 4
 
 #: Kinds of pieces: whole words, and the first and later parts of one long word.
 WORDS, FIRST, LATER = 0, 1, 2
@@ -117,10 +119,20 @@ def _word(enc, data: bytes) -> list[int]:
     return enc._encode_single_piece(data)
 
 
+def _run_ids(run: str, file: str) -> list[int]:
+    """Ids of a part of one word. Where the splitting pattern leaves the part
+    whole it goes through the call that lets other threads run."""
+    import regex
+
+    if not run.startswith("'") and regex.fullmatch(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", run):
+        return encoder(file).encode_ordinary(run)
+    return _word(encoder(file), run.encode("utf-8"))
+
+
 def word_ids(text: str, file: str, size: int = RUN) -> list[int]:
     """Ids of one unsplit word, by halving it down to ``size`` characters."""
     if len(text) <= size:
-        return _word(encoder(file), text.encode("utf-8"))
+        return _run_ids(text, file)
     half = len(text) // 2
     return joined(word_ids(text[:half], file, size), word_ids(text[half:], file, size), file)
 
@@ -143,16 +155,20 @@ def concatenated(parts: list[tuple[int, list[int]]], file: str) -> list[int]:
     return out
 
 
-def piece_ids(piece: str, kind: int, file: str) -> list[int]:
-    return text_ids(piece, file) if kind == WORDS else word_ids(piece, file)
-
-
-def text_ids(text: str | None, file: str, run: int = RUN) -> list[int]:
-    """Ids of a text; words longer than ``run`` characters are halved."""
+def text_ids(text: str | None, file: str, run: int = RUN, piece: int = PIECE) -> list[int]:
+    """Ids of a text. Words longer than ``run`` characters are halved; a text of
+    more than two pieces is encoded piece by piece in parallel."""
     import regex
 
     if not text:
         return []
+    if len(text) > 2 * piece:
+        from concurrent.futures import ThreadPoolExecutor
+
+        cuts = pieces(text, piece)
+        one = lambda c: (c[1], word_ids(c[0], file, run) if c[1] else text_ids(c[0], file, run, len(c[0])))
+        with ThreadPoolExecutor(THREADS) as pool:
+            return concatenated(list(pool.map(one, cuts)), file)
     if len(text) > run and regex.search(rf"\S{{{run}}}|\s{{{run}}}", text):
         parts = [(kind, word_ids(p, file, run) if kind else encoder(file).encode_ordinary(p)) for p, kind in pieces(text, run)]
         return concatenated(parts, file)
@@ -162,67 +178,33 @@ def text_ids(text: str | None, file: str, run: int = RUN) -> list[int]:
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str | None = None, piece: int = PIECE) -> DataFrame:
     """(key, ids array<int>) for every row of ``docs``."""
     file = file or f"{FOLDER}/{BYTE_BPE}"
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = docs.select(key, text)
-    is_long = F.coalesce(F.length(text) > 2 * piece, F.lit(False))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         want = pa.list_(pa.int32())
         for b in batches:
-            ids = [text_ids(t, file) for t in b.column(1).to_pylist()]
+            ids = [text_ids(t, file, piece=piece) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, want)], names=[key, "ids"])
 
-    short = rows.filter(~is_long).mapInArrow(encode, schema)
-    long = rows.filter(is_long)
-    if long.limit(1).count() == 0:
-        return short
-    return short.unionByName(_long_ids(long, key, text, file, piece, schema))
-
+    return docs.select(key, text).mapInArrow(encode, schema)
 
-def _long_ids(long: DataFrame, key: str, text: str, file: str, piece: int, schema: T.StructType) -> DataFrame:
-    """Long texts: one row per piece, encoded in parallel, joined by document."""
-    kind = schema[key].dataType
-    cut_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, kind), T.StructField("no", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("piece", T.StringType())])
-    done_schema = T.StructType([*cut_schema.fields[:4], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def split(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for b in batches:
-            for row, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                cuts = pieces(t, piece)
-                for lo in range(0, len(cuts), 64):
-                    part = cuts[lo : lo + 64]
-                    yield pa.RecordBatch.from_pydict({"row": [row] * len(part), key: [k] * len(part), "no": list(range(lo, lo + len(part))), "kind": [i for _, i in part], "piece": [p for p, _ in part]}, schema=_arrow(cut_schema))
+def texts(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", file: str | None = None) -> DataFrame:
+    """(key, text) of encoded texts: the inverse of ``token_ids``, with the empty
+    text for null ones."""
+    file = file or f"{FOLDER}/{BYTE_BPE}"
+    schema = T.StructType([T.StructField(key, tokens.schema[key].dataType), T.StructField("text", T.StringType())])
 
-    def encode(batches: Iterator) -> Iterator:
+    def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            d = b.to_pydict()
-            ids = [piece_ids(p, kind, file) for p, kind in zip(d.pop("piece"), d["kind"], strict=True)]
-            yield pa.RecordBatch.from_pydict(d | {"ids": ids}, schema=_arrow(done_schema))
-
-    def gather(table):
-        import pyarrow as pa
-
-        d = table.sort_by("no").to_pydict()
-        ids = concatenated(list(zip(d["kind"], d["ids"], strict=True)), file)
-        return pa.Table.from_pydict({key: d[key][:1], "ids": [ids]}, schema=_arrow(schema))
-
-    # a row number of its own keeps repeated ids apart; it is fixed by writing
-    numbered = cut(long.select(F.monotonically_increasing_id().alias("row"), key, text), "long")
-    parts = numbered.mapInArrow(split, cut_schema).repartition("row", "no")
-    return parts.mapInArrow(encode, done_schema).groupBy("row").applyInArrow(gather, schema)
-
-
-def _arrow(schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
+            out = [encoder(file).decode_bytes(i or []).decode("utf-8") for i in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
-    return to_arrow_schema(schema)
+    return tokens.select(key, ids).mapInArrow(decode, schema)
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str | None = None) -> DataFrame:

@@ -74,8 +74,47 @@ def test_expiry(spark, table):
     assert {r.name: r.parent_id for r in m.ref_snapshots(table).collect()} == {"audit": 1, "main": 5}
     with pytest.raises(ValueError):
         m.expirable(table, older_than_days=1)
-    with pytest.raises(RuntimeError, match="good"):
-        m.maintain({"good": table, "bad": None})
+    with pytest.raises(RuntimeError, match="bad in compact.*good"):
+        m.maintain({"bad": None, "good": table})
+    (spark.sparkContext._jvm.java.io.File(table.files_.path(f"{table.root}/_log/0000000005.json").toUri().getPath())).delete()
+    with pytest.raises(RuntimeError, match="broken"):
+        m.expirable(table, keep=3)
+
+
+def test_stages_and_command_line(spark, table, capsys):
+    for k in range(3):
+        table.append(frame(spark, [k]))
+    plan = m.maintain({"t": table})["t"]
+    assert plan["compact"].partitions == 1 and table.snapshot().id == 3
+    assert m.main(["apply", table.root], spark) == 2 and table.snapshot().id == 3
+    assert m.main(["plan", table.root], spark) == 0 and table.snapshot().id == 3
+    assert m.main(["apply", "--confirm", "--stage", "compact", table.root], spark) == 0 and table.snapshot().operation == "compact"
+    assert table.read().count() == 3 and "compact" in capsys.readouterr().out
+    e = m.entries(table)
+    assert e.filter("status = 'added'").count() == 4 and e.filter("snapshot_id = 4").count() == 1
+    assert m.manifests(table).count() == 4 and m.manifests(table).filter("bytes > 0").count() == 4
+
+
+def test_compaction_keeps_what_is_appended_meanwhile(spark, table, monkeypatch):
+    for k in range(3):
+        table.append(frame(spark, [k]))
+    prove = m._prove_same
+
+    def meanwhile(change):
+        def run(*a):
+            monkeypatch.setattr(m, "_prove_same", prove)
+            change()
+            prove(*a)
+
+        monkeypatch.setattr(m, "_prove_same", run)
+
+    meanwhile(lambda: (table.append(frame(spark, [7])), table.append(frame(spark, [8], "2026-01-02"))))
+    assert m.compact(table, confirm=True).snapshot == 6
+    assert sorted(r.k for r in table.read().collect()) == [0, 1, 2, 7, 8] and len(table.snapshot().parts["2026-01-01"]) == 2
+    meanwhile(lambda: table.overwrite(frame(spark, [9]), ["2026-01-01"]))
+    with pytest.raises(CommitConflict):
+        m.compact(table, confirm=True)
+    assert sorted(r.k for r in table.read().collect()) == [8, 9]
 
 
 def test_publication(spark):

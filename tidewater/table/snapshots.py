@@ -160,8 +160,9 @@ class SnapshotTable:
             raise CommitConflict(f"snapshot {snap.id} of {self.root} was committed by another writer")
         return snap
 
-    def append(self, df: DataFrame) -> Snapshot:
-        parent = self.snapshot()
+    def append(self, df: DataFrame, parent: Snapshot | None = None) -> Snapshot:
+        """Add rows, on top of ``parent`` if what is added was worked out from it."""
+        parent = parent or self.snapshot()
         parts = {k: list(v) for k, v in (parent.parts if parent else {}).items()}
         for p, dirs in self._write(df).items():
             parts[p] = parts.get(p, []) + dirs

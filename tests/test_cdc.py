@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tests import world
 from tidewater.runtime import new_dir
 from tidewater.streaming import boundary, cdc
+from tidewater.table.snapshots import CommitConflict, SnapshotTable
 
 
 def messages(spark, rows):
@@ -77,10 +79,47 @@ def test_stream_from_files(spark, tmp_path):
         messages(spark, ALL[k * 13 : k * 13 + 13] + ALL[:2]).coalesce(1).write.mode("append").parquet(str(src))
     for _ in range(2):  # the second run finds nothing new
         stream = spark.readStream.schema(spark.createDataFrame([], cdc.MESSAGES).schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-        q = cdc.start(stream, root, str(tmp_path / "checkpoint"), str(tmp_path / "beat"))
+        q = cdc.start(stream, root, str(tmp_path / "checkpoint"), f"{root}-beat")
         q.awaitTermination(120)
     assert cdc.ledger_at(spark, root).read().count() == 26
-    assert cdc.is_healthy(str(tmp_path / "beat"), 600) and not cdc.is_healthy(str(tmp_path / "none"), 600)
+    assert cdc.is_healthy(spark, f"{root}-beat", 600) and not cdc.is_healthy(spark, f"{root}-none", 600)
+
+
+def test_bounded_runs(spark, tmp_path):
+    src, root = tmp_path / "in", new_dir(spark, "ledger")
+    for k in range(4):
+        messages(spark, ALL[k * 6 : k * 6 + 6]).coalesce(1).write.mode("append").parquet(str(src))
+    read = lambda: spark.readStream.schema(spark.createDataFrame([], cdc.MESSAGES).schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    one = cdc.run_bounded(read(), root, str(tmp_path / "c"), max_batches=1)
+    assert one["batches"] >= 1 and one["messages"] >= 6
+    two = cdc.run_bounded(read(), root, str(tmp_path / "c"), max_messages=7, idle_s=60)
+    assert two["messages"] >= 7
+    cdc.run_bounded(read(), root, str(tmp_path / "c"), idle_s=1.5)
+    assert cdc.ledger_at(spark, root).read().count() == 24
+
+
+def test_ledger_rejects_duplicates_and_races(spark, monkeypatch):
+    root = new_dir(spark, "ledger")
+    a, b = cdc.ledger_at(spark, root), cdc.ledger_at(spark, root)
+    events = cdc.parsed(messages(spark, ALL[:4])).drop("errors").withColumn("ingested_at", F.current_timestamp())
+    with pytest.raises(cdc.DuplicateEvents):
+        cdc.append_new(a, events.union(events.limit(1)))
+    assert cdc.append_new(a, events.limit(1)) == 1
+    append = SnapshotTable.append
+
+    def overtaken(self, df, parent=None):
+        monkeypatch.setattr(SnapshotTable, "append", append)
+        cdc.append_new(b, events)
+        return append(self, df, parent)
+
+    monkeypatch.setattr(SnapshotTable, "append", overtaken)
+    with pytest.raises(CommitConflict):
+        cdc.append_new(a, events)
+    assert cdc.append_new(a, events) == 0 and a.read().count() == 4
+    twice = messages(spark, [ALL[5], (*ALL[5][:3], ALL[5][3] - world.dt.timedelta(hours=1), *ALL[5][4:])])
+    assert cdc.write_batch(a, twice) == 1
+    kept = a.read().filter(F.col("event_id") == world.event_id("customers", ALL[5][2])).first()
+    assert kept.kafka_timestamp == (ALL[5][3] - world.dt.timedelta(hours=1)).replace(tzinfo=None)
 
 
 def test_retry():
@@ -145,3 +184,17 @@ def test_frontier_must_stand_still():
     assert got[boundary.TOPICS[0]]["offset_exclusive"] == 7 and took == 8
     with pytest.raises(TimeoutError, match="behind"):
         run_frontier([sample(5, 3)] * 99)
+
+
+def test_health():
+    running = boundary.Connector("RUNNING", ("RUNNING",))
+    sound = boundary.Sample(dict.fromkeys(boundary.TOPICS, 5), dict.fromkeys(boundary.TOPICS, 3), (), dict.fromkeys(boundary.TOPICS, (0,)), running, ("g", 1))
+    assert boundary.health(sound, "g") == [] and boundary.complaints(sound)[0].endswith("2 behind")
+    t = boundary.TOPICS[0]
+    bad = {
+        "connector is PAUSED": {"connector": boundary.Connector("PAUSED", ("RUNNING",))}, "task 1 is FAILED": {"connector": boundary.Connector("RUNNING", ("RUNNING", "FAILED"))}, "connector without tasks": {"connector": boundary.Connector("RUNNING", ())},
+        "group x instead of g": {"group": ("x", 1)}, "group g has no members": {"group": ("g", 0)}, f"{t}[0] is missing": {"partitions": {u: (0,) for u in boundary.TOPICS[1:]}}, f"{t}[1] is not expected": {"partitions": sound.partitions | {t: (0, 1)}},
+        f"{t}: negative offsets -1 of 5": {"committed": sound.committed | {t: -1}}, f"{t}: committed beyond its end": {"committed": sound.committed | {t: 9}}, f"{t}: offsets are missing": {"ends": {u: 5 for u in boundary.TOPICS[1:]}},
+    }
+    for why, change in bad.items():
+        assert boundary.health(dataclasses.replace(sound, **change), "g") == [why]

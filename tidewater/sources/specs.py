@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
 SERVICE = "_batch_id string, _batch_date date, _source_object string, _source_object_row_position bigint, _ingested_at timestamp"
-TOPIC = "omni.oltp.public.{}"
+#: Topic of a captured table. Fixed value: that of the given ledger; the prefix
+#: is a setting.
+TOPIC = os.environ.get("TIDEWATER_TOPIC_PREFIX", "omni.oltp.public") + ".{}"
 CAPTURED = ("customers", "orders", "payments")
 
 

@@ -65,28 +65,61 @@ def frontier(feed: DataFrame) -> dict[str, dict[str, int]]:
     return validated({t: {"partition": 0, "offset_exclusive": after.get(t, 0)} for t in TOPICS})
 
 
+@dataclass(frozen=True)
+class Connector:
+    """State of the capture: the connector's and its tasks'."""
+
+    state: str
+    tasks: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Sample:
-    """What a probe saw: exclusive end offsets, committed offsets, complaints."""
+    """What a probe saw: exclusive end offsets and committed offsets by topic,
+    the partitions of each topic, and, where it asked for them, the connector and
+    the group that consumes (name, members)."""
 
     ends: Mapping[str, int]
     committed: Mapping[str, int]
     problems: tuple[str, ...] = ()
+    partitions: Mapping[str, tuple[int, ...]] | None = None
+    connector: Connector | None = None
+    group: tuple[str, int] | None = None
 
 
-def complaints(sample: Sample) -> list[str]:
-    """Why a sample can't be a frontier; empty if it can."""
+def health(sample: Sample, group: str | None = None) -> list[str]:
+    """What is wrong with the capture, lag aside; nothing if it is healthy."""
     out = list(sample.problems)
+    if c := sample.connector:
+        states = {"connector": c.state} | {f"task {k}": s for k, s in enumerate(c.tasks)}
+        out += [f"{who} is {s}" for who, s in states.items() if s != "RUNNING"]
+        out += [] if c.tasks else ["connector without tasks"]
+    if sample.group:
+        name, members = sample.group
+        out += [f"group {name} instead of {group}"] if group and name != group else []
+        out += [] if members > 0 else [f"group {name} has no members"]
+    if sample.partitions is not None:
+        found = {(t, p) for t, ps in sample.partitions.items() for p in ps}
+        due = {(t, 0) for t in TOPICS}
+        out += [f"{t}[{p}] is missing" for t, p in sorted(due - found)] + [f"{t}[{p}] is not expected" for t, p in sorted(found - due)]
     for t in TOPICS:
         if t not in sample.ends or t not in sample.committed:
             out.append(f"{t}: offsets are missing")
-        elif sample.committed[t] > sample.ends[t]:
+            continue
+        end, done = sample.ends[t], sample.committed[t]
+        if min(end, done) < 0:
+            out.append(f"{t}: negative offsets {done} of {end}")
+        elif done > end:
             out.append(f"{t}: committed beyond its end")
-        elif sample.committed[t] < sample.ends[t]:
-            out.append(f"{t}: {sample.ends[t] - sample.committed[t]} behind")
     return out
 
 
+def complaints(sample: Sample) -> list[str]:
+    """Why a sample can't be a frontier; empty if it can."""
+    lag = {t: sample.ends.get(t, 0) - sample.committed.get(t, 0) for t in TOPICS}
+    return health(sample) or [f"{t}: {n} behind" for t, n in lag.items() if n]
+
+
 def wait_for_frontier(probe: Callable[[], Sample], window_s: float, deadline_s: float, poll_s: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict:
     """The boundary once two samples without lag, at least ``window_s`` apart,
     agree. A failed probe, a lag or a moved end drops the candidate."""

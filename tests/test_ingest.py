@@ -1,6 +1,8 @@
+import csv
 import datetime as dt
 import io
 import json
+import random
 from decimal import Decimal
 
 import pyarrow as pa
@@ -13,6 +15,7 @@ from tidewater.ingest import archive, bronze, landing
 from tidewater.runtime import new_dir
 from tidewater.sources import external, readers, rest, xlsx
 from tidewater.sources.specs import SPECS
+from tidewater.table.snapshots import CommitConflict
 
 DAY = dt.date(2026, 9, 20)
 CSV = b"supplier_id,sku,price,currency,valid_from\nS1,A,1.50,EUR,2026-01-01\n\nS2,B,-1,EUR,2026-01-01\nS3,C,x,EUR,2026-13-01\nS4,D,1\nS5,E,1,EUR,2026-01-01,more\n\"S6\",\"q,\"\"r\"\"\",2,EUR,2026-01-02\n"
@@ -31,8 +34,8 @@ FILES = {"supplier-prices": ("a.csv", CSV, 6, 4), "partner-products": ("a.json",
 
 
 @pytest.fixture
-def store(tmp_path):
-    return archive.FolderStore(str(tmp_path / "store"))
+def store(spark):
+    return archive.HadoopStore(spark, new_dir(spark, "store"))
 
 
 @pytest.mark.parametrize("source", FILES)
@@ -40,24 +43,78 @@ def test_vendor_readers(spark, store, source):
     name, data, n, bad = FILES[source]
     store.put(name, data)
     contract = readers.CONTRACTS[source]
-    rows = readers.with_reasons(readers.read_vendor(spark, [str(store.path(name))], contract), contract)
+    rows = readers.with_reasons(readers.read_vendor(spark, [store.path(name)], contract), contract)
     got = rows.orderBy("_source_object_row_position").collect()
     assert [r._source_object_row_position for r in got] == list(range(n)) and sum(r.reasons is not None for r in got) == bad
-    by_hand = [landing.row_reasons(v, e, contract) for _, _, v, e, _ in readers.parsed_rows(name, data, contract)]
-    assert [r.reasons for r in got] == by_hand
     good = readers.good_rows(rows, contract, SPECS[source.replace("-", "_")])
     assert good.count() == n - bad
 
 
 def test_csv_reasons(spark, store):
-    got = [landing.row_reasons(v, e, readers.CONTRACTS["supplier-prices"]) for _, _, v, e, _ in readers.parsed_rows("a", CSV, readers.CONTRACTS["supplier-prices"])]
-    assert got == [None, "price: not a valid decimal", "price: not a valid decimal; valid_from: not a valid date", "currency: required value is missing; valid_from: required value is missing", "row has more values than the header", None]
+    store.put("a", CSV)
+    c, spec = readers.CONTRACTS["supplier-prices"], SPECS["supplier_prices"]
+    got = [r.reasons for r in readers.with_reasons(readers.read_vendor(spark, [store.path("a")], c), c, spec).orderBy("_source_object_row_position").collect()]
+    assert got == [None, "price: no decimal", "price: no decimal; valid_from: no date", "currency: empty; valid_from: empty", "row has more values than the header", None]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_landing_and_loading_agree(spark, store, seed):
+    """On whatever values: what landing counts as good is what is loaded."""
+    rng = random.Random(seed)
+    odd = ["", " ", "\u00a0", "\u3000", "1", "-1", "+1", "1.", ".5", "1.50", "1.005", "9" * 30, "1e3", "NaN", "\u0663", "0000-01-01", "2026-02-29", "2026-01-01", "2026-1-1", "x,y", 'q"r', "a\nb", "true"]
+    lines = [["supplier_id", "sku", "price", "currency", "valid_from"]] + [[rng.choice(odd), "s", rng.choice([*odd, *["2.5"] * 9]), "EUR", rng.choice([*odd, *["2026-05-05"] * 20])] for _ in range(200)]
+    out = io.StringIO()
+    csv.writer(out).writerows(lines)
+    store.put("incoming/supplier-prices/a.csv", out.getvalue().encode())
+    landed = landing.land(spark, store, readers.CONTRACTS["supplier-prices"], DAY)[0].manifest
+    root = new_dir(spark, "raw")
+    assert landed.row_count == 200 and 0 < landed.rejected_row_count < 200
+    assert bronze.load_new(spark, store, root, SPECS["supplier_prices"]) == {DAY: 200 - landed.rejected_row_count}
+    good = bronze.raw_table(spark, root, SPECS["supplier_prices"]).read().collect()
+    assert all(str(r.price) in ("1.00", "1.50", "2.50") for r in good)
+
+
+def test_strict_landing_and_contradicting_evidence(spark, store):
+    c = readers.CONTRACTS["supplier-prices"]
+    store.put("incoming/supplier-prices/a.csv", CSV)
+    store.put("incoming/supplier-prices/b.csv", CSV.replace(b"S1", b"S9"))
+    with pytest.raises(landing.RejectedRows, match="a.csv, b.csv"):
+        landing.land(spark, store, c, DAY, strict=True)
+    assert not store.list("incoming/") and len(store.list("files/")) == 2  # landed all the same
+    good = b"\n".join(CSV.split(b"\n")[:2]) + b"\n"
+    store.put("incoming/supplier-prices/c.csv", good)
+    assert landing.land(spark, store, c, DAY, strict=True)[0].status == "completed"
+    marker = next(k for k in store.list("state/checksums/") if archive.sha256([good]) in k)
+    store.put(marker, json.dumps({"manifest": next(k for k in store.list("manifests/") if archive.sha256([CSV])[:16] in k)}).encode())
+    store.put("incoming/supplier-prices/c.csv", good)
+    with pytest.raises(RuntimeError, match="another checksum"):
+        landing.land(spark, store, c, DAY)
+
+
+def test_store_and_digests(spark, store):
+    for k, data in {"a/x": b"1", "a/b/y": b"", "ab": b"\x00\xff" * 600_000}.items():
+        store.put(k, data)
+    assert store.list("a") == ["a/b/y", "a/x", "ab"] and store.list("a/b") == ["a/b/y"] and store.list("z/") == []
+    store.copy("ab", "c/d")
+    store.put("a/x", b"2")
+    store.delete("ab")
+    assert store.get("c/d") == b"\x00\xff" * 600_000 and store.get("a/x") == b"2" and not store.exists("ab") and store.size("c/d") == 1_200_000
+    one = bronze.digest(spark, [store.path("c/d")])
+    assert one == (1_200_000, archive.sha256([b"\x00\xff" * 600_000]))
+    assert bronze.digest(spark, [store.path("c/d"), store.path("a/x")]) == (1_200_001, archive.sha256(archive.sha256([store.get(k)]).encode() for k in ("a/x", "c/d")))
+    assert bronze.digest(spark, []) == (0, archive.sha256([]))
+
+
+def test_transient_failures():
+    for e in (CommitConflict("x"), OSError("Connection refused"), TimeoutError(), RuntimeError("Read timed out")):
+        assert bronze.is_transient(e)
+    assert not bronze.is_transient(ValueError("bad")) and not bronze.is_transient(bronze.BatchMismatch("timeout"))
 
 
 @pytest.mark.parametrize(("source", "data"), [("supplier-prices", b""), ("supplier-prices", b"\xff\xfe"), ("supplier-prices", b"a,b\n"), ("supplier-prices", CSV.replace(b"supplier_id,sku", b"sku,supplier_id")), ("partner-products", b"{}"), ("partner-products", b"[NaN]"), ("historical-orders", b"PAR1"), ("historical-orders", table_bytes(order_id=[1])), ("supplier-stock", b"PK"), ("supplier-stock", xlsx.write(["x"], []))])
 def test_broken_files(spark, store, source, data):
     store.put("f", data)
-    got = readers.read_vendor(spark, [str(store.path("f"))], readers.CONTRACTS[source]).collect()
+    got = readers.read_vendor(spark, [store.path("f")], readers.CONTRACTS[source]).collect()
     assert len(got) == 1 and got[0].file_error
 
 
@@ -73,13 +130,13 @@ def test_landing_and_loading(spark, store):
         store.put(f"incoming/{source}/{name}", data)
         store.put(f"processing/{source}/stranded-{name}", data)  # a crashed run
         store.put(f"incoming/{source}/x-wrong.txt", b"?")
-        got = {x.name: x for x in landing.land(store, contract, DAY)}
+        got = {x.name: x for x in landing.land(spark, store, contract, DAY)}
         assert got[name].status == "completed" and got[name].manifest.row_count == n and got[name].manifest.rejected_row_count == bad
         assert got[f"stranded-{name}"].status == "duplicate" and got["x-wrong.txt"].status == "rejected"
         assert not store.list(f"processing/{source}/") and not store.list(f"incoming/{source}/")
-        assert len(store.list(f"bad-rows/{source}/")) == 1 and any(k.endswith(".rejection.json") for k in store.list(f"rejected/{source}/"))
+        assert len([k for k in store.list(f"bad-rows/{source}/") if k.endswith(".csv")]) == 1 and any(k.endswith(".rejection.json") for k in store.list(f"rejected/{source}/"))
         store.put(f"incoming/{source}/{name}", data + b" ")
-        assert landing.land(store, contract, DAY)[0].status in ("rejected",)
+        assert landing.land(spark, store, contract, DAY)[0].status in ("rejected",)
         spec = SPECS[source.replace("-", "_")]
         assert bronze.load_new(spark, store, root, spec) == {DAY: n - bad}
         assert bronze.load_new(spark, store, root, spec) == {}
@@ -106,7 +163,7 @@ def test_pages(spark, store):
     for k, bad in enumerate(({"x": []}, {"rates": [{"currency": "USD"}]}, {"rates": [{"currency": "USD", "rate": "no"}]})):
         store.put(f"bad{k}.json", json.dumps(bad).encode())
         with pytest.raises(Exception):
-            readers.read_pages(spark, [str(store.path(f"bad{k}.json"))], spec).collect()
+            readers.read_pages(spark, [store.path(f"bad{k}.json")], spec).collect()
 
 
 def test_extract_by_watermark(spark, store):
@@ -121,7 +178,7 @@ def test_extract_by_watermark(spark, store):
     assert third.row_count == 0 and bronze.load_new(spark, store, root, spec) == {}
     assert bronze.extract_snapshot(spark, source, store, "orders", DAY, full=True).row_count == 2
     with pytest.raises(readers.SchemaMismatch):
-        path = str(store.path("bad"))
+        path = store.path("bad")
         source.drop("status").write.parquet(path)
         readers.read_snapshot(spark, [path], spec)
 
@@ -175,8 +232,8 @@ def client(responses, **kw):
 
 def test_client_retries():
     ok = rest.Response(200, b'{"a":1}', {})
-    c, log = client([rest.Response(500, b"", {}), rest.TransportError("x"), rest.Response(429, b"", {"Retry-After": "7"}), ok])
-    assert c.get("/p", {}) == {"a": 1} and len(log) == 4 and log[3][0] - log[2][0] == 7
+    c, log = client([rest.Response(500, b"", {}), rest.TransportError("x"), rest.Response(429, b"", {"Retry-After": "7"}), ok], rng=random.Random(1))
+    assert c.get("/p", {}) == {"a": 1} and len(log) == 4 and log[3][0] - log[2][0] == pytest.approx(7)
     c, log = client([rest.Response(404, b"", {})])
     with pytest.raises(rest.ApiError):
         c.get("/p", {})

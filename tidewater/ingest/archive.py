@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-import os
+import posixpath
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 from typing import Protocol
 
+from pyspark.sql import SparkSession
+
+from ..runtime import Files
+
 
 class ObjectStore(Protocol):
     """What the archive needs of an object store."""
@@ -22,41 +25,44 @@ class ObjectStore(Protocol):
     def copy(self, source: str, target: str) -> None: ...
     def delete(self, key: str) -> None: ...
     def list(self, prefix: str) -> list[str]: ...
+    def size(self, key: str) -> int: ...
+    def path(self, key: str) -> str: ...
 
 
-class FolderStore:
-    """Objects as files below a (shared) folder; a put is visible whole or not."""
+class HadoopStore:
+    """Objects below a root on any file system that the cluster knows; a put is
+    visible whole or not."""
 
-    def __init__(self, root: str):
-        self.root = Path(root)
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self.files = root.rstrip("/"), Files(spark, root)
 
-    def path(self, key: str) -> Path:
-        p = (self.root / key).resolve()
-        if not p.is_relative_to(self.root.resolve()):
+    def path(self, key: str) -> str:
+        if posixpath.normpath(f"/{key}") != f"/{key.rstrip('/')}" and key:
             raise ValueError(f"{key} leaves the store")
-        return p
+        return f"{self.root}/{key}"
 
     def get(self, key: str) -> bytes:
-        return self.path(key).read_bytes()
+        return self.files.read_bytes(self.path(key))
 
     def put(self, key: str, data: bytes) -> None:
-        p = self.path(key)
-        p.parent.mkdir(parents=True, exist_ok=True)
-        tmp = p.with_name(p.name + ".part")
-        tmp.write_bytes(data)
-        os.replace(tmp, p)
+        self.files.write_bytes(self.path(key), data)
 
     def exists(self, key: str) -> bool:
-        return self.path(key).is_file()
+        return self.files.exists(self.path(key))
+
+    def size(self, key: str) -> int:
+        return self.files.size(self.path(key))
 
     def copy(self, source: str, target: str) -> None:
-        self.put(target, self.get(source))
+        self.files.copy(self.path(source), self.path(target))
 
     def delete(self, key: str) -> None:
-        self.path(key).unlink(missing_ok=True)
+        self.files.delete(self.path(key))
 
     def list(self, prefix: str) -> list[str]:
-        return sorted(k for p in self.root.rglob("*") if p.is_file() and not p.name.endswith(".part") and (k := p.relative_to(self.root).as_posix()).startswith(prefix))
+        folder = prefix.rpartition("/")[0]
+        below = (f"{folder}/{k}" if folder else k for k in self.files.tree(self.path(folder)))
+        return [k for k in below if k.startswith(prefix) and not k.endswith((".part", ".crc"))]
 
 
 def sha256(chunks: Iterable[bytes]) -> str:

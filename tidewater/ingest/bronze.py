@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import keyset_page
+from ..functions.scalars import distinct_rows
+from ..operators.relational import after_watermark
 from ..sources.readers import CONTRACTS, good_rows, read_pages, read_snapshot, read_vendor, with_reasons
 from ..sources.specs import SPECS, Spec
 from ..streaming.cdc import retrying
 from ..table.snapshots import CommitConflict, SnapshotTable
-from .archive import FolderStore, Manifest, Watermark, days_of, load_watermark, manifest_key, manifests, page_key, purge_watermark, save_watermark, sha256, snapshot_prefix
+from .archive import ObjectStore, Manifest, Watermark, days_of, load_watermark, manifest_key, manifests, page_key, purge_watermark, save_watermark, sha256, snapshot_prefix
 
 
 class BatchMismatch(RuntimeError):
@@ -34,21 +35,44 @@ def source_name(spec: Spec) -> str:
 
 
 def digest(spark: SparkSession, paths: list[str]) -> tuple[int, str]:
-    """(bytes, checksum) of objects, hashed where they are read. Of one object it
-    is its SHA-256, of several that of their sums in name order; only one line
-    per object comes to the driver."""
+    """(bytes, checksum) of objects, hashed where they are read, a block at a
+    time, so an object may have any size. Of one object it is its SHA-256, of
+    several that of their sums in name order, folded there too."""
     if not paths:
         return 0, sha256([])
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sum")).orderBy("path").collect()
-    sums = [f["sum"] for f in files]
-    return sum(f["length"] for f in files), sums[0] if len(sums) == 1 else sha256(x.encode() for x in sums)
 
-
-def read_batch(spark: SparkSession, store: FolderStore, spec: Spec, m: Manifest) -> DataFrame:
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            sizes, sums = [], []
+            for path in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                h, n = hashlib.sha256(), 0
+                with system.open_input_stream(at) as stream:
+                    while block := stream.read(1 << 20):
+                        h.update(block)
+                        n += len(block)
+                sizes.append(n)
+                sums.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums)], names=["path", "bytes", "sum"])
+
+    # Spark lists the objects and gives their full paths; contents aren't read
+    found = spark.read.format("binaryFile").load(paths).select("path")
+    sums = found.repartition(min(len(paths), 1000)).mapInArrow(hashed, "path string, bytes long, sum string")
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sum"))), lambda x: x["sum"]), "")
+    r = sums.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.max("sum").alias("one"), F.sha2(all_, 256).alias("several")).first()
+    return r.bytes, r.one if r.n == 1 else r.several if r.n else sha256([])
+
+
+def read_batch(spark: SparkSession, store: ObjectStore, spec: Spec, m: Manifest) -> DataFrame:
     """Business and service columns of one archived batch, after its integrity
     has been checked: size and checksum of the objects."""
     keys = store.list(m.object_key) if m.object_key.endswith("/") else [m.object_key]
-    paths = [str(store.path(k)) for k in keys if store.exists(k)]
+    paths = [store.path(k) for k in keys if store.exists(k)]
     if digest(spark, paths) != (m.size_bytes, m.checksum):
         raise BatchMismatch(f"{m.batch_id}: objects differ from the manifest")
     if m.row_count == 0:
@@ -59,7 +83,7 @@ def read_batch(spark: SparkSession, store: FolderStore, spec: Spec, m: Manifest)
         rows = read_pages(spark, paths, spec)
     else:
         contract = CONTRACTS[spec.source]
-        rows = good_rows(with_reasons(read_vendor(spark, paths, contract), contract), contract, spec)
+        rows = good_rows(with_reasons(read_vendor(spark, paths, contract), contract, spec), contract, spec)
     day = datetime.date.fromisoformat(m.logical_date)
     at = datetime.datetime.fromisoformat(m.ingested_at)
     return rows.select(*spec.business.fieldNames(), F.lit(m.batch_id).alias("_batch_id"), F.lit(day).alias("_batch_date"), "_source_object", F.col("_source_object_row_position").cast("bigint").alias("_source_object_row_position"), F.lit(at).cast("timestamp").alias("_ingested_at"))
@@ -72,7 +96,7 @@ def _positioned(spark: SparkSession, paths: list[str], spec: Spec) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.business], "_source_object", "_source_object_row_position")
 
 
-def load_date(spark: SparkSession, store: FolderStore, root: str, spec: Spec, day: datetime.date) -> int:
+def load_date(spark: SparkSession, store: ObjectStore, root: str, spec: Spec, day: datetime.date) -> int:
     """Replace one date of one raw table by its archived batches; returns rows."""
     found = list(manifests(store, source_name(spec), day))
     if not found:
@@ -89,7 +113,7 @@ def load_date(spark: SparkSession, store: FolderStore, root: str, spec: Spec, da
 
 
 def _verify(table: SnapshotTable, day: datetime.date, expected: int) -> None:
-    got = table.read(partitions=[day.isoformat()]).agg(F.count("*").alias("n"), F.count_distinct(F.struct("_source_object", "_source_object_row_position")).alias("places")).first()
+    got = table.read(partitions=[day.isoformat()]).agg(F.count("*").alias("n"), distinct_rows("_source_object", "_source_object_row_position").alias("places")).first()
     if got.n != expected or got.places != expected:
         raise BatchMismatch(f"{table.root} on {day}: {got.n} rows in {got.places} places, expected {expected}")
 
@@ -105,7 +129,7 @@ def is_complete(table: SnapshotTable, day: datetime.date, batch_ids: set[str]) -
     return have == batch_ids
 
 
-def load_new(spark: SparkSession, store: FolderStore, root: str, spec: Spec) -> dict[datetime.date, int]:
+def load_new(spark: SparkSession, store: ObjectStore, root: str, spec: Spec) -> dict[datetime.date, int]:
     """Load dates not yet loaded, ascending, stopping at the first failure. Of
     snapshots and APIs only dates from the last loaded one on count; files may
     come late and are looked at on all dates."""
@@ -121,9 +145,21 @@ def load_new(spark: SparkSession, store: FolderStore, root: str, spec: Spec) ->
     return done
 
 
+#: Words in the message of a failure that another try may mend. Fixed values.
+TRANSIENT = ("connection refused", "connection reset", "timed out", "timeout", "temporarily unavailable", "service unavailable", "too many requests", "broken pipe")
+
+
+def is_transient(e: Exception) -> bool:
+    """Another writer was first, or a service didn't answer; never a batch that
+    isn't what its manifest says."""
+    if isinstance(e, BatchMismatch):
+        return False
+    return isinstance(e, (CommitConflict, ConnectionError, TimeoutError)) or any(w in str(e).lower() for w in TRANSIENT)
+
+
 def load_with_retry(call: Callable[[], object], attempts: int = 3, **kw):
-    """Retry a whole load when another writer was first."""
-    return retrying(call, attempts, transient=lambda e: isinstance(e, CommitConflict), **kw)
+    """Retry a whole load: it replaces one date in one commit, so it is safe to."""
+    return retrying(call, attempts, transient=is_transient, **kw)
 
 
 def delete_coordinates(table: SnapshotTable, day: datetime.date, places: DataFrame) -> int:
@@ -138,7 +174,7 @@ def delete_coordinates(table: SnapshotTable, day: datetime.date, places: DataFra
     return before - table.read(snap.id, [day.isoformat()]).count()
 
 
-def extract_snapshot(spark: SparkSession, source: DataFrame, store: FolderStore, table: str, day: datetime.date, full: bool = False, now: datetime.datetime | None = None) -> Manifest:
+def extract_snapshot(spark: SparkSession, source: DataFrame, store: ObjectStore, table: str, day: datetime.date, full: bool = False, now: datetime.datetime | None = None) -> Manifest:
     """Archive the rows after the table's watermark (all, if ``full`` or if
     there is none) as Parquet objects, written by the executors. Objects,
     manifest, watermark, in this order: a run broken off before the watermark
@@ -148,15 +184,16 @@ def extract_snapshot(spark: SparkSession, source: DataFrame, store: FolderStore,
     if full:
         purge_watermark(store, table)
     mark = load_watermark(store, table)
-    rows = keyset_page(source.select(*spec.business.fieldNames()), "updated_at", spec.key[0], (mark.updated_at, mark.key) if mark else None)
+    # in no order: the watermark is a maximum, so nothing is sorted
+    rows = after_watermark(source.select(*spec.business.fieldNames()), "updated_at", spec.key[0], (mark.updated_at, mark.key) if mark else None)
     prefix = snapshot_prefix(table, day)
-    rows.write.mode("overwrite").parquet(str(store.path(prefix)))
-    written = spark.read.schema(spec.business).parquet(str(store.path(prefix)))
+    rows.write.mode("overwrite").parquet(store.path(prefix))
+    written = spark.read.schema(spec.business).parquet(store.path(prefix))
     seen = written.agg(F.count("*").alias("n"), F.max(F.struct("updated_at", spec.key[0])).alias("last")).first()
     for key in store.list(prefix):
         if seen.n == 0 or not key.endswith(".parquet"):
             store.delete(key)  # marker files, and the empty object of an empty increment
-    size, checksum = digest(spark, [str(store.path(k)) for k in store.list(prefix)])
+    size, checksum = digest(spark, [store.path(k) for k in store.list(prefix)])
     m = Manifest.of(name, "postgres", "completed", prefix, checksum, size, day, seen.n, now=now)
     for old in manifests(store, name, day):
         store.delete(manifest_key(name, day, old.batch_id))
@@ -166,7 +203,7 @@ def extract_snapshot(spark: SparkSession, source: DataFrame, store: FolderStore,
     return m
 
 
-def archive_pages(store: FolderStore, source: str, day: datetime.date, pages, field: str, now: datetime.datetime | None = None) -> Manifest:
+def archive_pages(store: ObjectStore, source: str, day: datetime.date, pages, field: str, now: datetime.datetime | None = None) -> Manifest:
     """Archive API pages under fixed keys with one manifest; no page is an error."""
     import json
 

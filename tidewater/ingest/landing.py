@@ -9,16 +9,19 @@ archived name is rejected.
 
 from __future__ import annotations
 
-import csv
 import datetime
-import io
 import json
-import re
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from ..operators.rejects import Contract
-from ..sources.readers import parsed_rows
-from .archive import Manifest, ObjectStore, file_key, manifest_key, sha256
+from ..runtime import cut, discard
+from ..sources.readers import read_vendor, with_reasons
+from ..sources.specs import SPECS
+from .archive import Manifest, ObjectStore, file_key, manifest_key
+from .bronze import digest
 
 _SUFFIX = {"csv": ".csv", "json": ".json", "parquet": ".parquet", "xlsx": ".xlsx"}
 
@@ -42,48 +45,51 @@ def recover(store: ObjectStore, source: str) -> list[str]:
     return back
 
 
-def row_reasons(values: list[str | None], error: str | None, contract: Contract) -> str | None:
-    """Reasons of one row in plain Python, for files that one process lands; the
-    same rules as the readers' column expressions."""
-    out = [error] if error else []
-    for v, f in zip(values, contract.fields, strict=True):
-        if v is None or not v.strip():
-            out += [f"{f.name}: required value is missing"] if f.required else []
-        elif f.type == "integer" and not re.fullmatch(r"-?[0-9]+", v):
-            out.append(f"{f.name}: not a valid integer")
-        elif f.type == "decimal" and not re.fullmatch(r"\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)", v):
-            out.append(f"{f.name}: not a valid decimal")
-        elif f.type == "boolean" and v.lower() not in ("true", "false"):
-            out.append(f"{f.name}: not a valid boolean")
-        elif f.type == "date":
-            try:
-                if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", v):
-                    raise ValueError
-                datetime.date.fromisoformat(v)
-            except ValueError:
-                out.append(f"{f.name}: not a valid date")
-    return "; ".join(out) or None
-
-
-def land(store: ObjectStore, contract: Contract, day: datetime.date, limit: int | None = None, now: datetime.datetime | None = None) -> list[Landed]:
-    """Land the incoming files of one source, oldest name first."""
+class RejectedRows(RuntimeError):
+    """In strict mode: a landed file was rejected or holds rejected rows."""
+
+
+def land(spark: SparkSession, store: ObjectStore, contract: Contract, day: datetime.date, limit: int | None = None, now: datetime.datetime | None = None, strict: bool = False) -> list[Landed]:
+    """Land the incoming files of one source, oldest name first. ``strict`` still
+    lands all of them, and then fails if any row or file was rejected."""
     recover(store, contract.source)
-    return [_land_one(store, contract, key, day, now) for key in store.list(f"incoming/{contract.source}/")[:limit]]
+    done = [_land_one(spark, store, contract, key, day, now) for key in store.list(f"incoming/{contract.source}/")[:limit]]
+    bad = [x.name for x in done if x.status == "rejected" or x.manifest.rejected_row_count]
+    if strict and bad:
+        raise RejectedRows(f"{contract.source}: rejected data in {', '.join(bad)}")
+    return done
 
 
-def _land_one(store: ObjectStore, contract: Contract, key: str, day: datetime.date, now) -> Landed:
+def _known(store: ObjectStore, source: str, checksum: str) -> str | None:
+    """Key of the manifest of a checksum landed before. Evidence that contradicts
+    itself is an error: a marker must lead to a manifest of its own checksum."""
+    marker = f"state/checksums/{source}/{checksum}.json"
+    if not store.exists(marker):
+        return None
+    key = json.loads(store.get(marker))["manifest"]
+    if not store.exists(key):
+        return None  # died between the two; landing again mends it
+    if Manifest.load(store.get(key)).checksum != checksum:
+        raise RuntimeError(f"{marker} leads to {key}, which is of another checksum")
+    return key
+
+
+def _land_one(spark: SparkSession, store: ObjectStore, contract: Contract, key: str, day: datetime.date, now) -> Landed:
+    """One file. Its rows are read, checked and counted by Spark, with the rules
+    that loading applies; the driver sees the counts."""
     name, source = key.rsplit("/", 1)[1], contract.source
-    data = store.get(key)
-    checksum = sha256([data])
+    spec = SPECS[source.replace("-", "_")]
+    size, checksum = digest(spark, [store.path(key)])
     working = f"processing/{source}/{name}"
     store.copy(key, working)
     store.delete(key)
 
     def finish(status: str, target: str, rows: int = 0, bad: int = 0, reasons=()) -> Landed:
-        m = Manifest.of(source, "file", status, target, checksum, len(data), day, rows, bad, reasons=reasons, now=now)
-        store.put(manifest_key(source, day, m.batch_id + ("" if status == "completed" else f"-{status}")), m.dump())
+        m = Manifest.of(source, "file", status, target, checksum, size, day, rows, bad, reasons=reasons, now=now)
+        at = manifest_key(source, day, m.batch_id + ("" if status == "completed" else f"-{status}"))
+        store.put(at, m.dump())
         if status == "completed":
-            store.put(marker, json.dumps({"manifest": manifest_key(source, day, m.batch_id)}).encode())
+            store.put(f"state/checksums/{source}/{checksum}.json", json.dumps({"manifest": at}).encode())
         store.delete(working)
         return Landed(name, status, m)
 
@@ -93,24 +99,22 @@ def _land_one(store: ObjectStore, contract: Contract, key: str, day: datetime.da
         store.put(f"{target}.rejection.json", json.dumps({"reason": reason, "checksum": checksum}).encode())
         return finish("rejected", target, reasons=[reason])
 
-    marker = f"state/checksums/{source}/{checksum}.json"
-    if store.exists(marker) and store.exists(json.loads(store.get(marker))["manifest"]):
-        return finish("duplicate", json.loads(store.get(marker))["manifest"])
+    if known := _known(store, source, checksum):
+        return finish("duplicate", known)
     if not name.endswith(_SUFFIX[contract.format]):
         return reject(f"{name} is no {contract.format} file")
     target = file_key(source, day, name)
-    if store.exists(target) and sha256([store.get(target)]) != checksum:
+    if store.exists(target) and digest(spark, [store.path(target)])[1] != checksum:
         return reject(f"{target} holds other content")
-    rows = list(parsed_rows(name, data, contract))
-    if rows and rows[0][4]:
-        return reject(rows[0][4])
-    bad = [(p, v, why) for _, p, v, e, _ in rows if (why := row_reasons(v, e, contract))]
+    rows = cut(with_reasons(read_vendor(spark, [store.path(working)], contract), contract, spec), "landing")
+    seen = rows.agg(F.max("file_error").alias("error"), F.count("_source_object_row_position").alias("n"), F.count("reasons").alias("bad")).first()
+    if seen.error:
+        discard(rows)
+        return reject(seen.error)
     store.copy(working, target)
-    if bad:
-        out = io.StringIO()
-        w = csv.writer(out)
-        w.writerow(["row_position", *[f.name for f in contract.fields], "reasons"])
-        w.writerows([p, *v, why] for p, v, why in bad)
-        store.put(f"bad-rows/{source}/{checksum[:16]}-{name}.csv", out.getvalue().encode())
-    return finish("completed", target, len(rows), len(bad))
-
+    if seen.bad:
+        texts = [F.get(F.col("fields"), F.lit(k)).alias(f.name) for k, f in enumerate(contract.fields)]
+        bad = rows.filter("reasons is not null").select(F.col("_source_object_row_position").alias("row_position"), *texts, "reasons")
+        bad.write.mode("overwrite").option("header", True).csv(store.path(f"bad-rows/{source}/{checksum[:16]}-{name}"))
+    discard(rows)
+    return finish("completed", target, seen.n, seen.bad)

@@ -77,11 +77,63 @@ def strict_object(text: str) -> dict | None:
     """A JSON object by the strict grammar, numbers as written; else None."""
     try:
         found = json.loads(text, parse_constant=_refuse, parse_int=_Number, parse_float=_Number)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
+    except RecursionError:
+        found = deep_object(text)
     return found if isinstance(found, dict) else None
 
 
+def deep_object(text: str) -> dict | None:
+    """The same for any depth: one pass with a stack. Objects and arrays within
+    the outer object are checked and come out as numbers do, as their text."""
+    import regex
+
+    token = regex.compile(r'[ \t\n\r]*+(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)|([{}\[\],:]))')
+    end = len(text.rstrip(" \t\n\r"))
+    stack: list[str] = []  # open objects and arrays
+    want = "value"  # or key, colon, next; "first" allows the container to close
+    out: dict = {}
+    at, name, began = 0, None, 0
+    while at < end:
+        m = token.match(text, at)
+        if m is None:
+            return None
+        string, scalar, mark = m.groups()
+        start, at = m.start(m.lastindex), m.end()
+        closes = mark in ("}", "]") and mark is not None
+        if closes and (want == "next" or want in ("firstkey", "first")):
+            if not stack or stack.pop() != {"}": "{", "]": "["}[mark]:
+                return None
+            want = "next"
+            if len(stack) == 1:
+                out[name] = _Number(text[began:at])
+            if not stack:
+                return out if at == end else None
+        elif want in ("key", "firstkey") and string:
+            name, want = (json.loads(string), "colon") if len(stack) == 1 else (name, "colon")
+        elif want == "colon" and mark == ":":
+            want, began = "value", at if len(stack) == 1 else began
+        elif want == "next" and mark == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        elif want in ("value", "first") and (string or scalar):
+            if len(stack) == 1:
+                out[name] = json.loads(string) if string else None if scalar == "null" else _Number(scalar)
+            want = "next"
+            if not stack:
+                return None
+        elif want in ("value", "first") and mark in ("{", "["):
+            if not stack and mark == "[":
+                return None
+            if len(stack) == 1:
+                began = start
+            stack.append(mark)
+            want = "firstkey" if mark == "{" else "first"
+        else:
+            return None
+    return None
+
+
 def json_fields(names: tuple[str, ...]):
     """Pandas UDF: record -> one text per name, marked s (JSON string) or x (any
     other value), null where the name is missing; null if not an object."""
@@ -110,10 +162,16 @@ def json_fields(names: tuple[str, ...]):
     return take
 
 
+def is_blank(value: Column) -> Column:
+    """Null, empty, or white space of any script only."""
+    return F.coalesce(value.rlike(_BLANK), F.lit(True))
+
+
 def value_error(text: Column, field: Field, marked: bool) -> Column:
-    """Whether a field's text breaks its type or its being required."""
+    """Whether a field's text breaks its type or its being required. These are
+    the rules of landing and loading vendor files as well."""
     value = F.substr(text, F.lit(2)) if marked else text
-    blank = value.isNull() | value.rlike(_BLANK)
+    blank = is_blank(value)
     if field.type == "string":
         wrong = ~text.startswith("s") if marked else F.lit(False)
     elif field.type == "date":
@@ -175,11 +233,19 @@ def typed(records: DataFrame, contract: Contract, record: str = "raw_record") ->
     """The good records of one contract as typed columns, besides those of the
     input (a field named like an input column gets the prefix ``value_``).
     Integers beyond 64 bits become null, decimals are rounded to six places and
-    null beyond 32 digits before the point; ``inexact`` has the exact texts."""
+    null beyond 32 digits before the point; ``inexact`` has the exact texts, and
+    ``texts`` the whole records as written."""
     good, values = _good(records, contract, record)
     return good.select(*records.columns, *[_cast(text, f).alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values])
 
 
+def texts(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
+    """The good records of one contract with every field as its text, which loses
+    nothing; names as in ``typed``."""
+    good, values = _good(records, contract, record)
+    return good.select(*records.columns, *[text.alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values])
+
+
 def inexact(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
     """The input columns, ``field`` and ``exact`` (the text as written) of every
     number in a good record that ``typed`` rounds or makes null."""

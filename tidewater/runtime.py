@@ -112,6 +112,37 @@ class Files:
         finally:
             stream.close()
 
+    def read_bytes(self, p: str) -> bytes:
+        stream = self.fs.open(self.path(p))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, p: str, data: bytes) -> None:
+        """Write beside ``p`` and rename, so that ``p`` is there whole or not."""
+        tmp = f"{p}.{uuid.uuid4().hex}.part"
+        out = self.fs.create(self.path(tmp), True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        self._rename(tmp, p)
+
+    def copy(self, source: str, target: str) -> None:
+        tmp = f"{target}.{uuid.uuid4().hex}.part"
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(source), self.fs, self.path(tmp), False, self.conf)
+        self._rename(tmp, target)
+
+    def tree(self, p: str) -> list[str]:
+        """Paths of all files below ``p``, relative to it, in order."""
+        if not self.exists(p):
+            return []
+        root, out, found = self.fs.makeQualified(self.path(p)).toUri().getPath().rstrip("/"), [], self.fs.listFiles(self.path(p), True)
+        while found.hasNext():
+            out.append(found.next().getPath().toUri().getPath()[len(root) + 1 :])
+        return sorted(out)
+
     def create_text(self, p: str, text: str) -> bool:
         """Create ``p`` only if it doesn't exist; False if another writer was first."""
         try:
@@ -131,11 +162,14 @@ class Files:
         the old or the new text, never half of one and never none."""
         tmp = f"{p}.{uuid.uuid4().hex}.tmp"
         self.create_text(tmp, text)
+        self._rename(tmp, p)
+
+    def _rename(self, source: str, target: str) -> None:
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         options = self.gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(self.path(tmp), self.path(p), options)
+        context.rename(self.path(source), self.path(target), options)
 
     def delete(self, p: str) -> None:
         if self.exists(p):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.rejects import Contract, Field, _Number, _refuse
+from ..operators.rejects import Contract, Field, _Number, _refuse, is_blank, value_error
 from ..runtime import Files
 from . import xlsx
 from .specs import Spec
@@ -199,23 +199,21 @@ def read_vendor(spark: SparkSession, paths: list[str], contract: Contract) -> Da
     return out.unionByName(spark.createDataFrame(empty, _PARSED)) if empty else out
 
 
-def with_reasons(rows: DataFrame, contract: Contract) -> DataFrame:
+def with_reasons(rows: DataFrame, contract: Contract, spec: Spec | None = None) -> DataFrame:
     """``rows`` of read_vendor with ``reasons``: every broken rule of the row,
-    joined by "; ", or null for a good row."""
+    joined by "; ", or null for a good row. A value that the column it is loaded
+    into can't hold exactly breaks a rule too, if ``spec`` says what that is."""
+    kinds = {f.name: f.dataType for f in spec.business} if spec else {}
     rules = [F.col("row_error")]
     for k, f in enumerate(contract.fields):
         v = F.get(F.col("fields"), F.lit(k))
-        blank = v.isNull() | v.rlike(r"^\s*$")
-        if f.required:
-            rules.append(F.when(blank, f"{f.name}: required value is missing"))
-        wrong = {
-            "string": F.lit(False),
-            "integer": ~v.rlike(r"^-?[0-9]+\z"),
-            "decimal": v.try_cast("decimal(38,10)").isNull() | (v.try_cast("decimal(38,10)") < 0) | v.rlike(r"[eE\s]"),
-            "date": ~(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(F.substr(v, F.lit(1), F.lit(10)), "yyyy-MM-dd").isNotNull()),
-            "boolean": ~F.lower(v).isin("true", "false"),
-        }[f.type]
-        rules.append(F.when(~blank & wrong, f"{f.name}: not a valid {f.type}"))
+        broken, blank = value_error(v, f, False), is_blank(v)
+        rules.append(F.when(broken & blank, f"{f.name}: empty"))
+        rules.append(F.when(broken & ~blank, f"{f.name}: no {f.type}"))
+        if f.name in kinds and f.type in ("integer", "decimal"):
+            held = v.try_cast(kinds[f.name])
+            exact = held.cast("decimal(38,18)") == v.try_cast("decimal(38,18)")
+            rules.append(F.when(~broken & ~blank & ~F.coalesce(exact, F.lit(False)), f"{f.name}: too long for {kinds[f.name].simpleString()}"))
     text = F.concat_ws("; ", *rules)
     return rows.withColumn("reasons", F.when(F.col("file_error").isNull() & (text != ""), text))
 

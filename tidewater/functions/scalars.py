@@ -15,11 +15,6 @@ def json_scalar(text: Column, path: str) -> Column:
     return F.when(~found.rlike(r"^\s*[\[{]") | F.get_json_object(text, path + ".x").isNull() & F.json_array_length(found).isNull() & F.json_object_keys(found).isNull(), found)
 
 
-def iso_timestamp(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; digits beyond microseconds are cut off."""
-    return text.cast("timestamp")
-
-
 def iso_weekday(day: Column) -> Column:
     """Monday 1 to Sunday 7."""
     return F.weekday(day) + 1
@@ -49,11 +44,6 @@ def epoch_timestamp(ns: Column, us: Column, ms: Column) -> Column:
     return F.timestamp_micros(F.coalesce(whole, us, ms * 1000))
 
 
-def safe_ratio(a: Column, b: Column) -> Column:
-    """a / b, null where b is 0 or null."""
-    return a / F.nullif(b, F.lit(0))
-
-
 def quantized(amount: Column) -> Column:
     """Money to cents, half up, as decimal(12,2)."""
     return F.round(amount.cast("decimal(38,10)"), 2).cast("decimal(12,2)")
@@ -72,8 +62,3 @@ def filtered_sum(value: Column, condition: Column) -> Column:
 def distinct_rows(*columns: str) -> Column:
     """count(distinct row(...)): rows with null fields count too."""
     return F.count_distinct(F.struct(*columns))
-
-
-def not_same(a: Column, b: Column) -> Column:
-    """IS DISTINCT FROM."""
-    return ~a.eqNullSafe(b)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import date_key, iso_weekday
 from ..runtime import scratch_dir
 from .segments import PIECE_ROWS, next_row
 
@@ -105,9 +106,9 @@ def asof_rate(orders: DataFrame, rates: DataFrame, day: Column, last_day: Column
 def calendar(first: Column, last: Column, source: DataFrame) -> DataFrame:
     """One row per day between two aggregates of ``source``; none if it is empty."""
     days = source.agg(first.alias("a"), last.alias("b")).select(F.explode(F.sequence("a", "b")).alias("full_date"))
-    dow = F.weekday("full_date") + 1
+    dow = iso_weekday(F.col("full_date"))
     return days.select(
-        F.date_format("full_date", "yyyyMMdd").cast("int").alias("date_key"),
+        date_key(F.col("full_date")).alias("date_key"),
         "full_date",
         F.year("full_date").alias("year_number"),
         F.quarter("full_date").alias("quarter_number"),

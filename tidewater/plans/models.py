@@ -3,8 +3,8 @@ registry that builds them in dependency order.
 
 Models of raw tables come in three shapes, each made by one function: the typed
 projection of a snapshot table, its latest row per key, and the typed projection
-of a change feed. The others are written out. Nothing is materialised here: a
-build hands out lazy DataFrames, and ``materialise`` writes those asked for.
+of a change feed. The others are written out. A build hands out lazy DataFrames
+of staging and intermediate models, and core models and marts as written once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import complete_minutes, filtered_sum, json_scalar
 from ..operators import relational as R
 from ..operators.pit_asof import in_force
 from ..runtime import cut
@@ -68,8 +69,8 @@ def typed_changes(table: str):
         route = (F.col("source_schema") == "public") & (F.col("source_table") == table) & (F.col("kafka_topic") == TOPIC.format(table))
         rows = ledger.filter(route & boundary_filter(boundary, TOPIC.format(table)))
         gone = F.col("operation") == "d"
-        values = [F.when(~gone, F.get_json_object("after_json", f"$.{f.name}")).cast(f.dataType).alias(f.name) for f in fields if f.name != key]
-        return rows.select(F.get_json_object("key_json", f"$.{key}").cast("bigint").alias(key), *values, gone.alias("is_deleted"), *meta)
+        values = [F.when(~gone, json_scalar(F.col("after_json"), f"$.{f.name}")).cast(f.dataType).alias(f.name) for f in fields if f.name != key]
+        return rows.select(json_scalar(F.col("key_json"), f"$.{key}").cast("bigint").alias(key), *values, gone.alias("is_deleted"), *meta)
 
     return make
 
@@ -102,8 +103,8 @@ def int_cdc_customer_versions(events):
 @model("intermediate", "fact_orders", "int_fx_rates_daily")
 def int_orders_fx(orders, rates):
     day = F.to_date("created_at")
-    last = orders.agg(F.max(day)).first()[0]  # one value: rates are carried up to it
-    rated = R.asof_rate(orders, rates, day, F.lit(last).cast("date"))
+    last = orders.agg(F.max(day).alias("__last"))  # one row: rates are carried up to it
+    rated = R.asof_rate(orders, rates.crossJoin(F.broadcast(last)), day, F.coalesce("__last", "rate_date"))
     per_eur = lambda c: (F.col(c) / F.col("rate_to_eur")).alias(f"{c}_eur")
     return rated.select("order_id", "customer_id", "customer_key", "currency", "order_status", "order_total", "shipping_cost", "created_at", "rate_to_eur", per_eur("order_total"), per_eur("shipping_cost"))
 
@@ -168,8 +169,7 @@ def realized() -> Column:
 
 
 def sum_if(condition: Column, value: Column) -> Column:
-    """sum(value) over rows that meet the condition, 0 if there are none."""
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    return filtered_sum(value, condition)
 
 
 @model("mart", "fact_order_items", "int_orders_fx", "dim_product", "dim_customer", "dim_date")
@@ -202,7 +202,7 @@ def mart_customer_ltv(orders, customers):
 
 @model("mart", "int_deliveries")
 def mart_delivery_performance(deliveries):
-    transit = F.timestamp_diff("MINUTE", F.col("shipped_at"), F.col("delivered_at"))
+    transit = complete_minutes(F.col("shipped_at"), F.col("delivered_at"))
     counts = [F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("delivered", "in_transit", "delayed", "returned")]
     return deliveries.groupBy("carrier").agg(F.count("*").alias("delivery_count"), *counts, (F.avg(transit) / 60.0).alias("avg_transit_hours"), F.max("updated_at").alias("last_update_at"))
 
@@ -253,9 +253,10 @@ def order_of_build(wanted: list[str] | None = None) -> list[str]:
     return done
 
 
-def build(bronze: Mapping[str, DataFrame], boundary: Mapping | None = None, wanted: list[str] | None = None, materialise: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+def build(bronze: Mapping[str, DataFrame], boundary: Mapping | None = None, wanted: list[str] | None = None, materialise: Callable[[str, DataFrame], DataFrame] | None = lambda name, df: cut(df, name)) -> dict[str, DataFrame]:
     """Every model (or those wanted with what they need) over the bronze tables.
-    Core models and marts pass through ``materialise`` if given."""
+    Core models and marts, which several others read, pass through
+    ``materialise`` and are written once, unless that is None."""
     out: dict[str, DataFrame] = {}
     for name in order_of_build(wanted):
         m = MODELS[name]

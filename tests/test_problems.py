@@ -470,6 +470,31 @@ def test_numbers_that_types_cannot_hold_are_kept_as_written(spark):
     df = spark.createDataFrame([(k, "n", f"{i};{x}") for k, (i, x) in enumerate(rows)], "record_id int, source string, raw_record string")
     got = {(r.record_id, r.field, r.exact) for r in rejects.inexact(df, c).collect()}
     assert got == {(1, "i", big), (2, "x", "0.0000004"), (3, "x", fine), (5, "i", "-" + big), (5, "x", "1.12345678")}
+    rows = {r.record_id: r for r in rejects.typed(df, c).collect()}
+    assert set(rows) == {0, 1, 2, 3, 5} and {(k, f, t) for k, r in rows.items() for f, t in (r.as_written or {}).items()} == got
+    assert rows[0].as_written is None and rows[0].i == 2**63 - 1 and str(rows[0].x) == "1.250000" and rows[2].x is None and rows[2].i == -1
+
+
+def test_json_of_any_depth(spark):
+    deep = lambda n, m: '{"a":"x","b":"y","c":' + "[" * n + "]" * m + "}"
+    rows = [(0, deep(200_000, 200_000)), (1, deep(200_000, 199_999)), (2, '{"a":"x","c":' + '{"d":' * 50_000 + "1" + "}" * 50_000 + ',"b":"y"}'), (3, '{"a":' + "[" * 60_000 + "]" * 60_000 + ',"b":"y"}'), (4, deep(60_000, 60_000) + "x")]
+    df = spark.createDataFrame([(i, "j", r) for i, r in rows], "record_id int, source string, raw_record string")
+    assert {r.record_id: r.reason for r in rejects.rejected(df, [JSON]).collect()} == {1: "syntax", 3: "value", 4: "syntax"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deep_parser_agrees_with_the_strict_one(seed):
+    rng = random.Random(seed)
+    parts = ['"a"', '"b\\n"', "1", "-0.5e3", "01", "true", "nul", "{", "}", "[", "]", ",", ":", " ", '"\\x"', "{}", "[]", '{"a":1}', '"k":']
+    texts = ["{" + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) + "}" for _ in range(4000)] + ['{"a":"x","b":[1,{"c":null}],"d":-1.5}']
+    agree = 0
+    for t in texts:
+        a, b = rejects.strict_object(t), rejects.deep_object(t)
+        assert (a is None) == (b is None), t
+        if a is not None:
+            assert set(a) == set(b) and all((type(v) is str) == (type(b[k]) is str) and (type(v) is not str or v == b[k]) and (v is None) == (b[k] is None) for k, v in a.items())
+            agree += 1
+    assert agree > 10
 
 
 def test_contract_table(spark):

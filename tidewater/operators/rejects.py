@@ -232,30 +232,23 @@ def rejected(records: DataFrame, table: list[Contract], record: str = "raw_recor
 def typed(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
     """The good records of one contract as typed columns, besides those of the
     input (a field named like an input column gets the prefix ``value_``).
-    Integers beyond 64 bits become null, decimals are rounded to six places and
-    null beyond 32 digits before the point; ``inexact`` has the exact texts, and
-    ``texts`` the whole records as written."""
+    An integer beyond 64 bits or a decimal of more than 32 digits before the
+    point or 6 behind it doesn't fit its column: it is null there, never rounded,
+    and stands as written in the map ``as_written`` (field -> text), which is null
+    in other rows."""
     good, values = _good(records, contract, record)
-    return good.select(*records.columns, *[_cast(text, f).alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values])
-
-
-def texts(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
-    """The good records of one contract with every field as its text, which loses
-    nothing; names as in ``typed``."""
-    good, values = _good(records, contract, record)
-    return good.select(*records.columns, *[text.alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values])
+    taken = {*records.columns, *[f.name for f in contract.fields]}
+    rest = "value_as_written" if "as_written" in taken else "as_written"
+    out = [F.when(~_lossy(text, f), _cast(text, f)).alias(f"value_{f.name}" if f.name in records.columns else f.name) for f, text in values]
+    lost = F.array_compact(F.array(*[F.when(_lossy(text, f), F.struct(F.lit(f.name).alias("field"), text.alias("exact"))) for f, text in values]))
+    return good.select(*records.columns, *out, F.when(F.size(lost) > 0, F.map_from_entries(lost)).alias(rest))
 
 
 def inexact(records: DataFrame, contract: Contract, record: str = "raw_record") -> DataFrame:
     """The input columns, ``field`` and ``exact`` (the text as written) of every
-    number in a good record that ``typed`` rounds or makes null."""
+    number in a good record that doesn't fit its column."""
     good, values = _good(records, contract, record)
-    lost = []
-    for f, text in values:
-        if f.type == "integer":
-            lost.append((f, text, _cast(text, f).isNull() & ~text.rlike(_BLANK)))
-        elif f.type == "decimal":
-            lost.append((f, text, (_cast(text, f).isNull() | text.rlike(r"\.[0-9]{6}[0-9]*[1-9]")) & ~text.rlike(_BLANK)))
+    lost = [(f, text, _lossy(text, f)) for f, text in values if f.type in ("integer", "decimal")]
     found = [F.when(why, F.struct(F.lit(f.name).alias("field"), text.alias("exact"))) for f, text, why in lost]
     kind = "array<struct<field:string,exact:string>>"
     one = F.explode(F.array_compact(F.array(*found)) if found else F.array().cast(kind)).alias("__lost")
@@ -269,6 +262,14 @@ def _cast(text: Column, field: Field) -> Column:
     return text if field.type == "string" else text.try_cast(_KINDS[field.type])
 
 
+def _lossy(text: Column, field: Field) -> Column:
+    """Whether the text is a number that its column can't hold exactly."""
+    if field.type not in ("integer", "decimal"):
+        return F.lit(False)
+    wrong = _cast(text, field).isNull() & ~is_blank(text)
+    return F.coalesce(wrong | text.rlike(r"\.[0-9]{6}[0-9]*[1-9]") if field.type == "decimal" else wrong, F.lit(False))
+
+
 def _good(records: DataFrame, contract: Contract, record: str) -> tuple[DataFrame, list[tuple[Field, Column]]]:
     """Good records, and each field with its text."""
     own = free_prefix(records.columns)

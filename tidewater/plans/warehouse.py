@@ -64,19 +64,25 @@ def ledger(spark, d) -> DataFrame:
     return kept.select("event_id", *[F.col(f"row.{f.name}").cast(f.dataType).alias(f.name) for f in LEDGER if f.name != "event_id"])
 
 
+def raw_rows(spark, d, name: str, batch: int) -> DataFrame:
+    """Business rows of one daily batch of a raw table."""
+    sql, used = _raw_sql(name, batch), {}
+    for t in ("lineitem", "part", "supplier", "customer", "orders"):
+        if re.search(rf"from {t}\b", sql):
+            used[t] = table(spark, d, t)
+            sql = re.sub(rf"from {t}\b", f"from {{{t}}}", sql)
+    rows = spark.sql(sql, **used)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPECS[name].business])
+
+
 def bronze(spark, d) -> dict[str, DataFrame]:
-    star = {t: table(spark, d, t) for t in ("lineitem", "part", "supplier", "customer", "orders")}
     out = {"postgres_cdc_events": cut(ledger(spark, d), "ledger")}
     for name in _RAW:
-        used = {t: df for t, df in star.items() if f"from {t}" in _raw_sql(name, 0)}
-        rows = None
+        parts = []
         for b, day in enumerate(_BATCH_DATES):
-            sql = _raw_sql(name, b)
-            for t in used:
-                sql = re.sub(rf"from {t}\b", f"from {{{t}}}", sql)
-            part = spark.sql(sql, **used).withColumns({"_batch_id": F.lit(f"{name}-{b}"), "_batch_date": F.lit(day).cast("date"), "_source_object": F.lit(name), "_source_object_row_position": F.monotonically_increasing_id(), "_ingested_at": F.lit(f"{day} 01:00:00").cast("timestamp")})
-            rows = part if rows is None else rows.unionByName(part)
-        out[name] = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPECS[name].schema])
+            service = {"_batch_id": F.lit(f"{name}-{b}"), "_batch_date": F.lit(day).cast("date"), "_source_object": F.lit(name), "_source_object_row_position": F.monotonically_increasing_id(), "_ingested_at": F.lit(f"{day} 01:00:00").cast("timestamp")}
+            parts.append(raw_rows(spark, d, name, b).withColumns(service))
+        out[name] = parts[0].unionByName(parts[1])
     return out
 
 
@@ -89,7 +95,7 @@ def built(spark, d) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         raw = bronze(spark, d)
-        _BUILT[key] = {"ledger": raw["postgres_cdc_events"], **models.build(raw, materialise=lambda name, df: cut(df, name))}
+        _BUILT[key] = {"ledger": raw["postgres_cdc_events"], **models.build(raw)}
     return _BUILT[key]
 
 

@@ -16,6 +16,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quantized
 from . import xlsx
 from .specs import LEDGER, SPECS, TOPIC
 
@@ -46,6 +47,35 @@ def change_feed(spark: SparkSession, n: int, keys: int, table: str = "customers"
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER])
 
 
+def initial_load(spark: SparkSession, customers: int = 10_000, products: int = 5_000, orders: int = 100_000, seed: int = 42, partitions: int | None = None) -> dict[str, DataFrame]:
+    """Tables of a shop on its first day, columns as in ``SPECS``. Products are
+    bought by ``power_weight`` of their rank: the inverse of its sum, so any
+    number of lines is drawn without a table of weights."""
+    ids = lambda n: spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    anchor = F.lit("2026-01-01").cast("timestamp")
+    stamps = {"created_at": anchor - F.make_dt_interval(F.lit(30), F.lit(0), F.lit(0)), "updated_at": anchor}
+    pick = lambda name, values: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + F.floor(_unit(seed, name) * len(values))).cast("int"))
+    customer = ids(customers).withColumns({"customer_id": F.col("id"), "email": F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("@example.test")), "first_name": pick("first", "ABCDE"), "last_name": pick("last", "VWXYZ"), "region": pick("region", ("north", "south", "east", "west")), "city": pick("city", ("a", "b", "c")), "status": F.lit("active"), "segment": pick("segment", ("standard", "premium", "vip")), "registered_at": stamps["created_at"], **stamps})
+    price = quantized(F.lit(5) + F.floor(_unit(seed, "price") * 49_500) / F.lit(100))
+    product = ids(products).withColumns({"product_id": F.col("id"), "sku": F.concat(F.lit("S"), F.col("id").cast("string")), "name": F.concat(F.lit("product "), F.col("id").cast("string")), "category_id": F.col("id") % 40, "brand": pick("brand", ("k", "l", "m")), "unit_price": price, "is_active": F.lit(True), **stamps}).withColumn("unit_cost", quantized(F.col("unit_price") * F.lit("0.6").cast("decimal(2,1)")))
+    # rank r with weight (r + 1) ** -0.7: its sum up to r grows like (r + 1) ** 0.3
+    rank = F.least(F.floor(F.pow(_unit(seed, "rank"), F.lit(1 / 0.3)) * products), F.lit(products - 1)).cast("bigint")
+    line = ids(orders).withColumns({"order_item_id": F.col("id"), "order_id": F.col("id"), "product_id": rank, "quantity": (1 + F.floor(_unit(seed, "quantity") * 4)).cast("bigint"), **stamps})
+    line = line.join(product.select("product_id", "unit_price"), "product_id").withColumn("line_total", quantized(F.col("unit_price") * F.col("quantity")))
+    order = line.select("order_id", F.floor(F.pmod(F.xxhash64("order_id", F.lit(seed)), F.lit(customers))).cast("bigint").alias("customer_id"), F.lit("pending").alias("status"), F.lit("EUR").alias("currency"), F.lit("4.90").cast("decimal(12,2)").alias("shipping_cost"), (F.col("line_total") + F.lit("4.90").cast("decimal(12,2)")).alias("order_total"), "created_at", "updated_at")
+    made = {"customers": customer, "products": product, "orders": order, "order_items": line}
+    return {n: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPECS[n].business]) for n, df in made.items()}
+
+
+def order_states(orders: DataFrame, payments: DataFrame, shipments: DataFrame) -> DataFrame:
+    """Orders joined to their payment, with the number of their shipments, of
+    which there may be none."""
+    paid = payments.select(F.col("order_id").alias("__p"), "payment_status")
+    sent = shipments.groupBy(F.col("order_id").alias("__s")).agg(F.count("*").alias("shipments"))
+    joined = orders.join(paid, F.col("order_id") == F.col("__p")).join(sent, F.col("order_id") == F.col("__s"), "left")
+    return joined.withColumn("shipments", F.coalesce("shipments", F.lit(0))).drop("__p", "__s")
+
+
 def vendor_file(source: str, day: datetime.date, rows: int = 50, seed: int = 42, bad: int = 0) -> bytes:
     """Bytes of a vendor file; the last ``bad`` rows break their contract."""
     from .readers import CONTRACTS

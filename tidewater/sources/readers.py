@@ -12,6 +12,7 @@ import csv
 import datetime
 import decimal
 import io
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -170,16 +171,20 @@ _PARSED = "_source_object string, _source_object_row_position bigint, fields arr
 
 
 def parsed_rows(path: str, payload: bytes, contract: Contract) -> Iterator[tuple]:
-    """(object, position, texts, row error, file error); a broken file is one row."""
-    out = []
+    """(object, position, texts, row error, file error); a broken file is one row.
+    A file is gone through twice, first to learn that it isn't broken, so rows are
+    handed on one by one and never listed."""
+    parse = _PARSERS[contract.format]
     try:
         if not payload:
             raise _BadFile("empty file")
-        for position, (values, error) in enumerate(_PARSERS[contract.format](payload, contract)):
-            out.append((path, position, values, error, None))
+        for _ in parse(payload, contract):
+            pass
     except _BadFile as e:
-        out = [(path, None, None, None, str(e))]
-    yield from out
+        yield path, None, None, None, str(e)
+        return
+    for position, (values, error) in enumerate(parse(payload, contract)):
+        yield path, position, values, error, None
 
 
 def read_vendor(spark: SparkSession, paths: list[str], contract: Contract) -> DataFrame:
@@ -189,9 +194,9 @@ def read_vendor(spark: SparkSession, paths: list[str], contract: Contract) -> Da
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(parsed_rows(path, bytes(content), contract))
-                for lo in range(0, len(rows), 5_000):
-                    yield pd.DataFrame(rows[lo : lo + 5_000], columns=["_source_object", "_source_object_row_position", "fields", "row_error", "file_error"]).astype({"_source_object_row_position": "Int64"})
+                rows = parsed_rows(path, bytes(content), contract)
+                while part := list(itertools.islice(rows, 5_000)):
+                    yield pd.DataFrame(part, columns=["_source_object", "_source_object_row_position", "fields", "row_error", "file_error"]).astype({"_source_object_row_position": "Int64"})
 
     out = files.mapInPandas(parse, _PARSED)
     store = Files(spark, paths[0])  # Spark passes over empty files, so they are named here

@@ -48,7 +48,9 @@ def checksum(df: DataFrame) -> tuple[int, str]:
     return r.n, r.h
 
 
-class ServingStore:
+class ServingReader:
+    """What readers are given: published versions, and no way to change them."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
@@ -59,6 +61,19 @@ class ServingStore:
         p = self._pointer(name)
         return json.loads(self.files.read_text(p)) if self.files.exists(p) else None
 
+    def read(self, name: str, schema) -> DataFrame:
+        now = self.current(name)
+        if now is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(now["version"]).select(*schema.fieldNames())
+
+
+class ServingStore(ServingReader):
+    """What the publisher has."""
+
+    def reader(self) -> ServingReader:
+        return ServingReader(self.spark, self.root)
+
     def publish(self, spec: Serving, df: DataFrame) -> dict:
         """Write, validate, swap. On a failed check the old version stays."""
         version = f"{self.root}/{spec.name}/v-{uuid.uuid4().hex}"
@@ -86,12 +101,6 @@ class ServingStore:
         self.files.replace_text(self._pointer(spec.name), json.dumps(state))
         return state
 
-    def read(self, name: str, schema) -> DataFrame:
-        now = self.current(name)
-        if now is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(now["version"]).select(*schema.fieldNames())
-
     def prune(self, name: str) -> int:
         """Delete versions the pointer doesn't name (after readers are done)."""
         now, n = self.current(name), 0

@@ -83,7 +83,9 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS, hot_rows: int = HO
     """(id, root, depth) of (id, parent) rows with unique ids. Depth -1 marks a
     chain that never ends; root is then the smallest id of its ring."""
     links = nodes.select("id", "parent")
-    linked = lookup(links, "parent", nodes.select(F.col("id").alias("__p")), "__p", hot_rows=hot_rows)
+    links = cut(links, "nodes")
+    total = links.count()
+    linked = lookup(links, "parent", links.select(F.col("id").alias("__p")), "__p", hot_rows=hot_rows, rows=total)
     anchor = F.coalesce("__p", "id")
     state = linked.select(
         "id",
@@ -94,8 +96,8 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS, hot_rows: int = HO
         F.lit(False).alias("ring"),
     )
     state = cut(state, "links")
-    written, settled = [state], state.filter("done")
-    for _ in range(state.count().bit_length() + 2):
+    written, settled = [links, state], state.filter("done")
+    for _ in range(total.bit_length() + 2):
         waiting = state.filter("not done")
         n = waiting.count()
         if n == 0:
@@ -104,7 +106,7 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS, hot_rows: int = HO
         merged = cut(placed.groupBy("bucket").applyInPandas(merge_bucket, _STATE), "merged")
         discard(placed)
         known = merged.unionByName(settled).select(F.col("id").alias("__i"), F.col("anchor").alias("__a"), F.col("steps").alias("__s"), F.col("low").alias("__l"), F.col("done").alias("__d"), F.col("ring").alias("__r"))
-        moved = lookup(merged.filter("not done"), "anchor", known, "__i", hot_rows=hot_rows).select(
+        moved = lookup(merged.filter("not done"), "anchor", known, "__i", hot_rows=hot_rows, rows=n).select(
             "id",
             F.coalesce("__a", "anchor").alias("anchor"),
             (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"),
@@ -119,7 +121,7 @@ def roots(nodes: DataFrame, bucket_links: int = BUCKET_LINKS, hot_rows: int = HO
     # anchor lies on it, and what the anchor passed is that ring
     left = state.filter("not done")
     lows = left.select(F.col("id").alias("__i"), F.col("low").alias("__l"))
-    rest = lookup(left, "anchor", lows, "__i", "inner", hot_rows).select("id", F.col("__l").alias("anchor"), "steps", "low", "done", F.lit(True).alias("ring"))
+    rest = lookup(left, "anchor", lows, "__i", "inner", hot_rows, left.count()).select("id", F.col("__l").alias("anchor"), "steps", "low", "done", F.lit(True).alias("ring"))
     out = settled.unionByName(rest).select("id", F.col("anchor").alias("root"), F.when(F.col("ring"), -1).otherwise(F.col("steps")).cast("long").alias("depth"))
     out = cut(out, "roots")
     discard(*written)
@@ -134,10 +136,11 @@ def paths(nodes: DataFrame, found: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     depth = found.agg(F.max("depth")).first()[0] or 0
     state = found.filter("depth >= 0").join(nodes.select("id", "parent"), "id")
     state = state.select("id", "root", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("anchor"), F.array("id").alias("path"))
+    state, total = cut(state, "paths"), found.count()
     for _ in range(int(depth).bit_length()):
         index = state.select(F.col("id").alias("__i"), F.col("anchor").alias("__a"), F.col("path").alias("__p"))
         longer = F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", "path")).alias("path")
-        before, state = state, cut(lookup(state, "anchor", index, "__i", hot_rows=hot_rows).select("id", "root", "depth", F.col("__a").alias("anchor"), longer), "paths")
+        before, state = state, cut(lookup(state, "anchor", index, "__i", hot_rows=hot_rows, rows=total).select("id", "root", "depth", F.col("__a").alias("anchor"), longer), "paths")
         discard(before)
     rings = found.filter("depth < 0").select("id", "root", "depth", F.lit(None).cast("array<bigint>").alias("path"))
     return state.select("id", "root", "depth", "path").unionByName(rings)

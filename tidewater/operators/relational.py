@@ -154,12 +154,16 @@ def gated(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> Dat
     return child.join(p, F.col(key) == F.col("__p"), "left_semi")
 
 
-def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, whose ``right_key`` is unique, so that no key
     of ``left`` brings more than about ``hot_rows`` rows into one task: rows of
     hot keys are salted before they are shuffled, by a hash of the whole row, and
-    the one row they look up is copied to each salt. The list of hot keys, which
-    is broadcast, has at most rows / ``hot_rows`` rows."""
+    the one row they look up is copied to each salt. The list of hot keys, which is
+    broadcast, has at most rows / ``hot_rows`` rows. Where ``left`` is known to
+    have ``rows`` rows and that is no more than ``hot_rows``, no key can be hot and
+    none is looked for."""
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, F.col(key) == F.col(right_key), how)
     counts = left.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
     hot = F.broadcast(counts.filter(F.col("__n") > hot_rows).select("__hot", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
     at = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__salts")), F.lit(0)).cast("int")

@@ -132,8 +132,10 @@ class SatelliteTable:
         """What is tracked of the batch's entities from its first place on, and
         the one row before that (``before``). No more can matter to the batch."""
         seen = self.table.read(parent.id if parent else None, ["tracking"] if parent else []).select(*self._KEYS)
+        if parent is None:
+            return seen.withColumn("before", F.lit(False))
         low = new.groupBy(F.col("customer_id").alias("__c")).agg(F.min("place").alias("__low"))
-        near = lookup(seen, "customer_id", low, "__c", "inner").drop("__c")
+        near = lookup(seen, "customer_id", low, "__c", "inner", rows=seen.count()).drop("__c")
         place = F.struct("place", "kafka_offset", "hash_diff")
         last = near.filter(F.col("place") < F.col("__low")).groupBy("customer_id").agg(F.max(place).alias("p")).select("customer_id", "p.place", "p.hash_diff", "p.kafka_offset", F.lit(True).alias("before"))
         return near.filter(F.col("place") >= F.col("__low")).select(*self._KEYS, F.lit(False).alias("before")).unionByName(last)

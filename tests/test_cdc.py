@@ -109,13 +109,15 @@ def test_ledger_rejects_duplicates_and_races(spark, monkeypatch):
 
     def overtaken(self, df, parent=None):
         monkeypatch.setattr(SnapshotTable, "append", append)
-        cdc.append_new(b, events)
+        cdc.append_new(other, events)
         return append(self, df, parent)
 
-    monkeypatch.setattr(SnapshotTable, "append", overtaken)
-    with pytest.raises(CommitConflict):
-        cdc.append_new(a, events)
-    assert cdc.append_new(a, events) == 0 and a.read().count() == 4
+    fresh = [cdc.ledger_at(spark, new_dir(spark, "ledger"))] * 2  # so far empty
+    for a, other in ((a, b), fresh):
+        monkeypatch.setattr(SnapshotTable, "append", overtaken)
+        with pytest.raises(CommitConflict):
+            cdc.append_new(a, events)
+        assert cdc.append_new(a, events) == 0 and a.read().count() == 4
     twice = messages(spark, [ALL[5], (*ALL[5][:3], ALL[5][3] - world.dt.timedelta(hours=1), *ALL[5][4:])])
     assert cdc.write_batch(a, twice) == 1
     kept = a.read().filter(F.col("event_id") == world.event_id("customers", ALL[5][2])).first()

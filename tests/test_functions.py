@@ -4,7 +4,9 @@ import json
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.ingest.archive import HadoopStore
 from tidewater.operators import cdc_fold, deliveries, relational
+from tidewater.runtime import new_dir
 from tidewater.sources import generate, readers
 
 
@@ -40,11 +42,12 @@ def test_change_feed_through_the_operators(spark):
 
 
 def test_vendor_files_are_deterministic(spark):
-    day = dt.date(2026, 9, 20)
+    day, store = dt.date(2026, 9, 20), HadoopStore(spark, new_dir(spark, "vendor"))
     for source, contract in readers.CONTRACTS.items():
         data = generate.vendor_file(source, day, 20, bad=3)
         assert data == generate.vendor_file(source, day, 20, bad=3)
-        rows = spark.createDataFrame(list(readers.parsed_rows("f", data, contract)), readers._PARSED)
+        store.put(source, data)
+        rows = readers.read_vendor(spark, [store.path(source)], contract)
         assert rows.count() == 20 and readers.with_reasons(rows, contract).filter("reasons is not null").count() == 3
     page = generate.rate_page(day)
     assert page == generate.rate_page(day) and all(abs(r["rate"] / b - 1) <= 0.0201 for r, b in zip(page["rates"], (1.09, 0.85, 0.95)))
@@ -59,3 +62,15 @@ def test_operators_of_relations(spark):
     assert relational.except_rows(df.union(df), df.filter("k = 1")).count() == 2
     page = relational.keyset_page(df, "o", "k", (5, 1), 5)
     assert [r.v for r in page.collect()] == ["c"]
+
+
+def test_initial_load(spark):
+    a, b = (generate.initial_load(spark, 50, 40, 2_000, partitions=p) for p in (2, 5))
+    assert {n: df.count() for n, df in a.items()} == {"customers": 50, "products": 40, "orders": 2_000, "order_items": 2_000}
+    for n in a:
+        assert sorted(map(str, a[n].collect())) == sorted(map(str, b[n].collect()))
+    lines = a["order_items"].join(a["products"].select("product_id", F.col("unit_price").alias("p")), "product_id")
+    assert lines.filter("unit_price <> p or line_total <> quantity * p").count() == 0
+    assert a["orders"].join(a["order_items"], "order_id").filter("order_total <> line_total + 4.90").count() == 0
+    bought = {r.product_id: r["count"] for r in a["order_items"].groupBy("product_id").count().collect()}
+    assert bought[0] > 3 * bought.get(20, 0) and len(bought) > 30  # power law

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidewater.plans import bench
 from tidewater.runtime import new_dir
 from tidewater.table import maintenance as m
+from tidewater.table import mutate
 from tidewater.table.publish import SERVED, Serving, ServingStore, checksum
 from tidewater.table.snapshots import CommitConflict, SnapshotTable
 
@@ -129,6 +130,8 @@ def test_publication(spark):
     with pytest.raises(RuntimeError):
         store.publish(spec, frame(spark, [-1]))
     assert store.read("s", df.schema).count() == 25
+    reader = store.reader()
+    assert reader.read("s", df.schema).count() == 25 and not hasattr(reader, "publish") and not hasattr(reader, "prune")
     assert store.prune("s") == 1 and store.read("s", df.schema).count() == 25
     assert set(SERVED) == {"mart_daily_sales", "mart_customer_ltv", "mart_marketing_roi", "mart_delivery_performance"}
 
@@ -137,3 +140,27 @@ def test_latencies():
     ticks = iter([0, 5, 5, 6, 6, 8, 8, 11, 11, 15])
     got = bench.measure(lambda: None, 5, lambda: next(ticks))
     assert got == {"first_ms": 5000, "median_ms": 3000, "p95_ms": 4000, "max_ms": 5000, "min_ms": 1000}
+
+
+def test_guarded_changes(spark, table, monkeypatch):
+    assert mutate.update_where(table, F.lit(True), {"v": F.lit("y")}) == 0 and mutate.delete_where(table, F.lit(True)) == {table.root: 0}
+    table.append(frame(spark, range(6)))
+    table.append(frame(spark, range(6, 9), "2026-01-02"))
+    child = SnapshotTable(spark, new_dir(spark, "child")).create(spark.createDataFrame([], "c long, parent long").schema)
+    child.append(spark.createDataFrame([(i, i % 5) for i in range(20)] + [(99, None)], "c long, parent long"))
+    parts = table.snapshot().parts
+    assert mutate.update_where(table, (F.col("k") < 3) & (F.col("v") == "x"), {"v": F.lit("y")}) == 3
+    assert mutate.update_where(table, (F.col("k") < 3) & (F.col("v") == "x"), {"v": F.lit("z")}) == 0  # the guard holds no more
+    assert table.snapshot().parts["2026-01-02"] == parts["2026-01-02"] != table.snapshot().parts["2026-01-01"]
+    assert mutate.delete_where(table, F.col("k").isin(1, 7), [(child, "parent", "k")]) == {table.root: 2, child.root: 4}
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(k, "y" if k < 3 else "x") for k in (0, 2, 3, 4, 5, 6, 8)] and child.read().count() == 17
+    look = mutate._affected
+
+    def overtaken(*a):
+        monkeypatch.setattr(mutate, "_affected", look)
+        table.append(frame(spark, [50]))
+        return look(*a)
+
+    monkeypatch.setattr(mutate, "_affected", overtaken)
+    with pytest.raises(CommitConflict):
+        mutate.update_where(table, F.col("k") == 2, {"v": F.lit("late")})

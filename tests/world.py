@@ -1,4 +1,8 @@
-"""A two-day retail world with a change ledger of 26 events, built in code."""
+"""A two-day retail world with a change ledger of 26 events, built in code.
+
+Fixed values, from FIXTURES.md: keys, operations, offsets, LSNs, segments, regions,
+amounts and times that the expected results of the models follow from.
+"""
 
 from __future__ import annotations
 
@@ -21,9 +25,9 @@ def at(day, hour, minute=0):
     return dt.datetime(2026, 9, day, hour, minute, tzinfo=dt.UTC)
 
 
-def customer(i, segment, region="cdc-region", **extra):
+def customer(i, segment, region="anywhere", **extra):
     t = "2026-09-01T08:00:00.000000Z"
-    return {"customer_id": i, "email": f"{i}@example.test", "first_name": "C", "last_name": "D", "region": region, "city": "x", "status": "active", "segment": segment, "registered_at": t, "created_at": t, "updated_at": t} | extra
+    return {"customer_id": i, "email": f"c{i}@shop.test", "first_name": "C", "last_name": "D", "region": region, "city": "somewhere", "status": "active", "segment": segment, "registered_at": t, "created_at": t, "updated_at": t} | extra
 
 
 def order(i, customer_id, status, total="42.50", ship="2.50", currency="USD", hour=10):
@@ -36,7 +40,7 @@ def payment(i, order_id, status, amount="42.50"):
 
 #: (table, key, operation, offset, lsn, row)
 EVENTS = [
-    ("customers", 9910001, "u", 3, 200, customer(9910001, "vip", additive_note="ignored")),
+    ("customers", 9910001, "u", 3, 200, customer(9910001, "vip", surplus=[1, 2])),
     ("customers", 9910001, "r", 0, None, customer(9910001, "standard")),
     ("customers", 9910001, "u", 2, 200, customer(9910001, "premium")),
     ("customers", 9910002, "r", 1, None, customer(9910002, "standard")),

@@ -16,10 +16,10 @@ from ..functions import scalars as S
 from ..ingest import archive, bronze, landing
 from ..operators.relational import in_time_order
 from ..runtime import discard, scratch_dir
-from ..sources import generate, readers, rest
+from ..sources import generate, readers, rest, xlsx
 from ..sources.specs import CAPTURED, SPECS, TOPIC
 from ..streaming import boundary, cdc
-from ..table import maintenance
+from ..table import maintenance, mutate
 from ..table.publish import SERVED, ServingStore
 from ..table.snapshots import SnapshotTable
 from . import checks, warehouse
@@ -104,8 +104,9 @@ def landed_files(spark, d):
     bronze.load_with_retry(lambda: bronze.load_new(spark, store, root, SPECS["supplier_prices"]))
     loaded = bronze.raw_table(spark, root, SPECS["supplier_prices"]).read().groupBy(F.substring_index("_source_object", "/", -1).alias("file")).agg(F.count("*").alias("loaded_rows"), F.sum("price").alias("price"))
     landed = spark.createDataFrame(manifests, "file string, row_count long, rejected_row_count long")  # one row per file
+    bad = spark.read.option("header", True).csv(store.path(f"bad-rows/{contract.source}/*")).groupBy(F.regexp_extract(F.col("_metadata.file_path"), r"-(prices-[0-9]\.csv)/", 1).alias("file")).agg(F.count("*").alias("bad_rows"))
     duplicates = len(list(archive.manifests(store, contract.source, status="duplicate")))
-    return landed.join(loaded, "file", "left").withColumn("duplicates", F.lit(duplicates))
+    return landed.join(loaded, "file", "left").join(bad, "file", "left").withColumn("duplicates", F.lit(duplicates))
 
 
 def bronze_loads(spark, d):
@@ -134,20 +135,61 @@ def deleted_ranges(spark, d):
     return raw.read().groupBy(F.col("_source_object").alias("source_object")).agg(F.count("*").alias("n"), F.min("_source_object_row_position").alias("first_place"))
 
 
+def _nations(spark, d) -> list:
+    """The nations, of which there are always 25, as what an API serves."""
+    return table(spark, d, "nation").orderBy("n_nationkey").collect()
+
+
 def api_pages(spark, d):
-    """Suppliers as pages of an API that fails now and then: read by cursor,
-    archived, loaded."""
-    suppliers = table(spark, d, "supplier").select("s_suppkey").orderBy("s_suppkey").limit(250).collect()  # the API serves this many
-    records = [{"currency": f"C{r.s_suppkey}", "rate": (1_000_000 + r.s_suppkey) / 1e6} for r in suppliers]
-    pages = [records[k : k + 40] for k in range(0, len(records), 40)]
+    """Pages by number from an API that fails now and then: archived, loaded."""
+    records = [{"currency": f"C{r.n_nationkey}", "rate": (1_000_000 + r.n_nationkey) / 1e6} for r in _nations(spark, d)]
+    pages = [records[k : k + 4] for k in range(0, len(records), 4)]
     send = generate.faulty(lambda path, p: rest.Response(200, _json({"rates": pages[p["page"] - 1] if p["page"] <= len(pages) else [], "total_count": len(records)}), {}), 3, rest.TransportError("injected"))
     client = rest.Client(send, sleep=lambda s: None)
     store, root, spec = archive.HadoopStore(spark, scratch_dir(spark, "store")), scratch_dir(spark, "raw"), SPECS["fx_rates"]
-    bronze.archive_pages(store, "fx-rates", DAY, rest.offset_pages(lambda p: client.get("/rates", p), "rates", 40), "rates")
+    bronze.archive_pages(store, "fx-rates", DAY, rest.offset_pages(lambda p: client.get("/rates", p), "rates", 4), "rates")
     bronze.load_date(spark, store, root, spec, DAY)
     return bronze.raw_table(spark, root, spec).read().select("currency", "rate", F.substring_index("_source_object", "/", -1).alias("page"), F.col("_source_object_row_position").alias("place"))
 
 
+def api_cursor(spark, d):
+    """Pages by cursor of what changed since the day before."""
+    since = (DAY - dt.timedelta(1)).isoformat()
+    made = [{"delivery_id": f"D{r.n_nationkey}", "order_id": r.n_name, "carrier": f"R{r.n_regionkey}", "status": "delivered", "shipped_at": f"{since}T08:00:00Z", "delivered_at": None, "updated_at": f"{since}T09:00:00Z", "more": 1} for r in _nations(spark, d)]
+    pages = [made[k : k + 7] for k in range(0, len(made), 7)]
+
+    def send(path, p):
+        k = int(p.get("cursor", 0))
+        found = pages[k] if p["updated_since"] == since else []
+        return rest.Response(200, _json({"deliveries": found, "next_cursor": str(k + 1) if k + 1 < len(pages) else None}), {})
+
+    client = rest.Client(send, sleep=lambda s: None)
+    store, root, spec = archive.HadoopStore(spark, scratch_dir(spark, "store")), scratch_dir(spark, "raw"), SPECS["deliveries"]
+    bronze.archive_pages(store, "deliveries", DAY, rest.cursor_pages(lambda p: client.get("/deliveries", p), "deliveries", DAY), "deliveries")
+    bronze.load_date(spark, store, root, spec, DAY)
+    return bronze.raw_table(spark, root, spec).read().select("delivery_id", "order_id", "carrier", F.date_format("shipped_at", "yyyy-MM-dd HH:mm").alias("shipped"), F.col("delivered_at").isNull().alias("under_way"), F.substring_index("_source_object", "/", -1).alias("page"))
+
+
+def vendor_formats(spark, d):
+    """Vendor files as a JSON array, Parquet and XLSX: rows and rejected rows."""
+    store = archive.HadoopStore(spark, scratch_dir(spark, "store"))
+    part = table(spark, d, "part")
+    record = F.to_json(F.struct(F.lit("p").alias("partner_id"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("sku"), F.when(F.col("p_partkey") % 8 != 0, F.col("p_name")).alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category")))
+    # a file of this format is one text whoever writes it
+    array = part.groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    array.coalesce(1).write.text(store.path("json"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("decimal(14,2)")).alias("order_total"), F.col("o_orderdate").alias("order_date"))
+    orders.write.parquet(store.path("parquet"))
+    stock = [[f"R{r.n_regionkey}", r.n_name, "many" if r.n_nationkey % 6 == 0 else str(r.n_nationkey), "2018-01-31"] for r in _nations(spark, d)]
+    store.put("xlsx/stock.xlsx", xlsx.write(["supplier_id", "sku", "quantity", "updated_at"], stock))
+    parts = []
+    for source, kind, ending in (("partner-products", "json", ".txt"), ("historical-orders", "parquet", ".parquet"), ("supplier-stock", "xlsx", ".xlsx")):
+        paths = [store.path(k) for k in store.list(f"{kind}/") if k.endswith(ending)]
+        rows = readers.with_reasons(readers.read_vendor(spark, paths, readers.CONTRACTS[source]), readers.CONTRACTS[source])
+        parts.append(rows.groupBy().agg(F.lit(source).alias("source"), F.count("*").alias("n"), F.count("reasons").alias("rejected"), F.count_distinct("_source_object", "_source_object_row_position").alias("places"), F.count("file_error").alias("broken")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _json(body: dict) -> bytes:
     import json
 
@@ -172,6 +214,21 @@ def compacted(spark, d):
     return maintenance.rows_by_partition(t).join(was, "partition").join(now, "partition").join(lost, "partition", "left").fillna(0, ["lost"])
 
 
+def mutated(spark, d):
+    """Orders updated under a guard, and some deleted with their lines."""
+    parts = {t: table(spark, d, t) for t in ("orders", "lineitem")}
+    orders = SnapshotTable(spark, scratch_dir(spark, "orders")).create(parts["orders"].schema, "o_orderstatus")
+    lines = SnapshotTable(spark, scratch_dir(spark, "lines")).create(parts["lineitem"].schema)
+    orders.append(parts["orders"])
+    lines.append(parts["lineitem"])
+    mutate.update_where(orders, (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 3 == 0), {"o_orderstatus": F.lit("F")})
+    mutate.update_where(orders, F.col("o_orderstatus") == "none", {"o_orderstatus": F.lit("F")})
+    mutate.delete_where(orders, F.col("o_orderkey") % 7 == 0, [(lines, "l_orderkey", "o_orderkey")])
+    n = lines.read().groupBy(F.col("l_orderkey").alias("order")).agg(F.count("*").alias("n"))
+    joined = orders.read().join(n, F.col("o_orderkey") == F.col("order"), "full")
+    return joined.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.sum("n").alias("lines"))
+
+
 def expired_snapshots(spark, d):
     """Snapshots after expiry: six overwrites, one of them named, two to keep."""
     r = table(spark, d, "region").select("r_regionkey", "r_name")
@@ -250,7 +307,7 @@ def check_freshness(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (messages_parsed, ledger_batches, ledger_stream, boundary_changes, landed_files, bronze_loads, deleted_ranges, api_pages, compacted, expired_snapshots, published_sales, published_aggregate, published_states, order_states, scalars_pinned, check_freshness)}
+QUERIES = {f.__name__: f for f in (messages_parsed, ledger_batches, ledger_stream, boundary_changes, landed_files, bronze_loads, deleted_ranges, api_pages, api_cursor, vendor_formats, compacted, mutated, expired_snapshots, published_sales, published_aggregate, published_states, order_states, scalars_pinned, check_freshness)}
 
 _SENT = "select *, sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset) mid from postgres_cdc_events where kafka_partition is not null and kafka_timestamp is not null"
 _DAY = "coalesce(cast(make_timestamp(cast(json_extract_string(envelope_json, '$.source.ts_us') as bigint)) as date), cast(kafka_timestamp as date))"
@@ -264,14 +321,18 @@ ORACLE = {
     "ledger_stream": f"select source_table, operation, count(distinct mid) n, count(distinct mid) ids from ({_SENT}) group by 1, 2",
     "boundary_changes": warehouse._BASE + """, z as (select source_table, kafka_offset, (max(kafka_offset) over (partition by source_table) + 1) // 2 half from led where kafka_partition = 0)
         select source_table, cast(max(half) as bigint) before, count(*) n, max(kafka_offset) last from z where kafka_offset < half group by 1""",
-    "landed_files": f"""select 'prices-' || p_partkey % 3 || '.csv' file, count(*) row_count, count(*) filter (bad) rejected_row_count, count(*) filter (not bad) loaded_rows, cast(sum(p_partkey % 300 + 0.5) filter (not bad) as decimal(22,2)) price, 3 duplicates from {_LINES} group by 1""",
+    "landed_files": f"""select 'prices-' || p_partkey % 3 || '.csv' file, count(*) row_count, count(*) filter (bad) rejected_row_count, count(*) filter (not bad) loaded_rows, cast(sum(p_partkey % 300 + 0.5) filter (not bad) as decimal(22,2)) price, count(*) filter (bad) bad_rows, 3 duplicates from {_LINES} group by 1""",
     "bronze_loads": f"""select date '2018-02-01' batch_date, count(*) n, count(*) places, max(o_orderkey) last_order, sum(cast(o_orderkey % 900 + 10 as decimal(12,2))) total from orders where o_orderdate < timestamp '1998-01-01'
         union all select date '2018-02-02', count(*), count(*), max(o_orderkey), sum(cast(o_orderkey % 900 + 10 as decimal(12,2))) from orders where o_orderdate >= timestamp '1998-01-01'
         union all select date '2018-02-04', count(*), count(*), max(o_orderkey), sum(cast(o_orderkey % 900 + 10 as decimal(12,2))) from orders where o_custkey % 2 = 0""",
     "deleted_ranges": """select 'o' || p_partkey % 3 source_object, count(*) n, min(p_partkey) first_place from part where not (p_partkey % 3 = 0 and p_partkey between 0 and 300) and not (p_partkey % 3 = 1 and p_partkey between 100 and 150) group by 1""",
-    "api_pages": """select 'C' || s_suppkey currency, cast((1000000 + s_suppkey) / 1000000.0 as decimal(18,6)) rate, 'page-' || lpad(cast((n - 1) // 40 + 1 as varchar), 5, '0') || '.json' page, (n - 1) % 40 place
-        from (select s_suppkey, row_number() over (order by s_suppkey) n from supplier) where n <= 250""",
+    "api_pages": "select 'C' || n_nationkey currency, cast((1000000 + n_nationkey) / 1000000.0 as decimal(18,6)) rate, 'page-0000' || n_nationkey // 4 + 1 || '.json' page, n_nationkey % 4 place from nation",
+    "api_cursor": "select 'D' || n_nationkey delivery_id, n_name order_id, 'R' || n_regionkey carrier, '2018-01-31 08:00' shipped, true under_way, 'page-0000' || n_nationkey // 7 + 1 || '.json' page from nation",
+    "vendor_formats": """select 'partner-products' source, count(*) n, count(*) filter (p_partkey % 8 = 0) rejected, count(*) places, 0 broken from part union all select 'historical-orders', count(*), count(*) filter (o_orderkey % 5 = 0), count(*), 0 from orders
+        union all select 'supplier-stock', count(*), count(*) filter (n_nationkey % 6 = 0), count(*), 0 from nation""",
     "compacted": "select event_type as partition, count(*) as rows, true was_candidate, true had_files, false is_candidate, 0 lost from events group by 1",
+    "mutated": """select o_orderstatus, count(*) orders, cast(sum(n) as bigint) lines from (select o_orderkey, case when o_orderstatus = 'P' and o_orderkey % 3 = 0 then 'F' else o_orderstatus end o_orderstatus from orders where o_orderkey % 7 <> 0)
+        full join (select l_orderkey, count(*) n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 7 = 0) group by 1) on o_orderkey = l_orderkey group by 1""",
     "expired_snapshots": "select * from (values (1, false, null, null, 0), (2, true, 1, 'audit', 1), (3, false, null, null, 0), (4, false, null, null, 0), (5, true, 4, null, 1), (6, true, 5, 'main', 1)) t(snapshot_id, kept, parent_id, name, folders)",
     "published_sales": warehouse.ORACLE["mart_sales"],
     "published_aggregate": warehouse._BASE + "select order_date, region, round(sum(revenue)::double / 1e21, 6) revenue_eur, cast(sum(orders_count) as bigint) orders_count, cast(sum(items_sold) as bigint) items_sold from ms group by 1, 2",

@@ -104,7 +104,9 @@ def compact(table: SnapshotTable, threshold_mb: int = 128, confirm: bool = False
     if not confirm or not todo or parent is None:
         return CompactionMetrics(len(todo) if not confirm else 0, 0, 0, None)
     old = table.read(parent.id, todo)
-    written = table._write(old)
+    target = sum(-(-b // (threshold_mb * MB)) for _, _, b in todo.values())
+    # partitions are packed by the table's own writer
+    written = table._write(old if table.partition_by else old.repartition(max(1, target)))
     new = table.spark.read.schema(table.schema).parquet(*[f"{table.root}/{d}" for ds in written.values() for d in ds])
     _prove_same(old, new, unique)
     for n in range(attempts):

@@ -47,6 +47,10 @@ class Snapshot:
         return {d for named in (self.parts, self.aux) for ds in named.values() for d in ds}
 
 
+#: Stands for the snapshot that is current when it is asked for.
+NEWEST = Snapshot(0, None, 0, "newest")
+
+
 class SnapshotTable:
     """Table at ``root`` with one optional partition column."""
 
@@ -160,18 +164,19 @@ class SnapshotTable:
             raise CommitConflict(f"snapshot {snap.id} of {self.root} was committed by another writer")
         return snap
 
-    def append(self, df: DataFrame, parent: Snapshot | None = None) -> Snapshot:
-        """Add rows, on top of ``parent`` if what is added was worked out from it."""
-        parent = parent or self.snapshot()
+    def append(self, df: DataFrame, parent: Snapshot | None = NEWEST) -> Snapshot:
+        """Add rows, on top of ``parent`` (None: the empty table) if what is added
+        was worked out from that."""
+        parent = self.snapshot() if parent is NEWEST else parent
         parts = {k: list(v) for k, v in (parent.parts if parent else {}).items()}
         for p, dirs in self._write(df).items():
             parts[p] = parts.get(p, []) + dirs
         return self.commit(parts, "append", parent)
 
-    def overwrite(self, df: DataFrame, partitions: Iterable[str] | None = None, parent: Snapshot | None = None) -> Snapshot:
+    def overwrite(self, df: DataFrame, partitions: Iterable[str] | None = None, parent: Snapshot | None = NEWEST) -> Snapshot:
         """Atomically replace the named partitions (all, if None) by the rows of
         ``df``; rows of other partitions in ``df`` are added to those."""
-        parent = parent or self.snapshot()
+        parent = self.snapshot() if parent is NEWEST else parent
         replaced = None if partitions is None else set(partitions)
         parts = {} if replaced is None else {k: list(v) for k, v in (parent.parts if parent else {}).items() if k not in replaced}
         for p, dirs in self._write(df).items():

@@ -7,9 +7,6 @@ laptop) is a temporary folder made and set.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
 import tempfile
 import uuid
 
@@ -34,18 +31,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Scratch folders of this process that are still there.
-_SCRATCH: set[str] = set()
+#: Folder of each application for what nobody needs once it ends.
+_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """``new_dir`` for what nobody needs once the process ends; deleted then, or
-    earlier by ``discard``."""
-    path = new_dir(spark, name)
-    if not _SCRATCH:
-        atexit.register(_discard_all)
-    _SCRATCH.add(path)
-    return path
+    """``new_dir`` for what nobody needs once the application ends: Hadoop deletes
+    it then, on whatever file system it is; ``discard`` does earlier."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        root = new_dir(spark, "scratch")
+        files = Files(spark, root)
+        files.fs.mkdirs(files.path(root))
+        files.fs.deleteOnExit(files.path(root))
+        _SCRATCH[app] = root
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -63,22 +63,8 @@ def discard(*frames: DataFrame | str | None) -> None:
     """Delete the folders of cuts that nothing reads any more."""
     for f in frames:
         path = getattr(f, "_scratch", f)
-        if isinstance(path, str) and path in _SCRATCH:
-            spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-            Files(spark, path).delete(path)
-            _SCRATCH.discard(path)
-
-
-def _discard_all() -> None:
-    """At the end of the process: through Hadoop while the session lives, and
-    what is on a local file system without it."""
-    for path in list(_SCRATCH):
-        with contextlib.suppress(Exception):
-            if path.startswith("file:"):
-                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
-            elif spark := SparkSession.getActiveSession():
-                Files(spark, path).delete(path)
-    _SCRATCH.clear()
+        if isinstance(path, str) and path.startswith(tuple(f"{root}/" for root in _SCRATCH.values())):
+            Files(SparkSession.active(), path).delete(path)
 
 
 class Files:

@@ -53,6 +53,7 @@ class ServingReader:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        self._frames: dict[str, tuple[str, DataFrame]] = {}
 
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current.json"
@@ -65,7 +66,10 @@ class ServingReader:
         now = self.current(name)
         if now is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(now["version"]).select(*schema.fieldNames())
+        # a version never changes, so its files are listed once; one per name is kept
+        if self._frames.get(name, ("",))[0] != now["version"]:
+            self._frames[name] = now["version"], self.spark.read.schema(schema).parquet(now["version"]).select(*schema.fieldNames())
+        return self._frames[name][1]
 
 
 class ServingStore(ServingReader):

@@ -146,13 +146,6 @@ def paths(nodes: DataFrame, found: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     return state.select("id", "root", "depth", "path").unionByName(rings)
 
 
-def descendants(with_paths: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of every pair along a path, the node
-    itself at distance 0; as many rows as the paths have entries."""
-    pairs = with_paths.filter("path is not null").select(F.posexplode("path").alias("at", "ancestor"), F.col("id").alias("descendant"), "depth")
-    return pairs.select("ancestor", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
-
-
 def whole_paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(id, root, depth, path, chain) of every node, rings included. On or before
     a ring (depth -1) the path starts at the ring's smallest id and follows the
@@ -170,7 +163,7 @@ def whole_paths(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return trees.unionByName(lookup(p, "root", rings, "__root", "inner").select("id", "root", F.lit(-1).cast("long").alias("depth"), "path", chain.alias("chain")))
 
 
-def whole_descendants(with_chains: DataFrame) -> DataFrame:
+def descendants(with_chains: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) of every pair along a chain, the node
     itself at distance 0; distances in a ring count the links upwards."""
     pairs = with_chains.select(F.posexplode("chain").alias("at", "ancestor"), F.col("id").alias("descendant"), F.size("chain").alias("n"))

@@ -88,25 +88,15 @@ def p5_found(spark, d):
 
 
 def p5_paths(spark, d):
-    nodes, found = _roots(spark, d)
-    return hierarchy.paths(nodes, found).select(F.col("id").alias("category_id"), F.col("root").alias("root_category_id"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
-
-
-def p5_descendants(spark, d):
-    nodes, found = _roots(spark, d)
-    return hierarchy.descendants(hierarchy.paths(nodes, found))
-
-
-def p5_all_paths(spark, d):
     """Paths of every category; on or before a ring from the ring's smallest id."""
     nodes, found = _roots(spark, d)
     return hierarchy.whole_paths(nodes, found).select(F.col("id").alias("category_id"), F.col("root").alias("root_category_id"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
 
 
-def p5_all_descendants(spark, d):
+def p5_descendants(spark, d):
     """Descendants of every category, on rings too."""
     nodes, found = _roots(spark, d)
-    return hierarchy.whole_descendants(hierarchy.whole_paths(nodes, found))
+    return hierarchy.descendants(hierarchy.whole_paths(nodes, found))
 
 
 def p6_found(spark, d):
@@ -135,7 +125,7 @@ def _typed(source):
     return run
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, ledger_replay, p2_found, p3_found, p3_rows, p3_batches, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p5_all_paths, p5_all_descendants, p6_found, p6_files, p6_inexact)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, ledger_replay, p2_found, p3_found, p3_rows, p3_batches, p4_found, p4_place, p4_change_rates, p5_found, p5_paths, p5_descendants, p6_found, p6_files, p6_inexact)}
 QUERIES |= {f"p6_typed_{s.replace('-', '_')}": _typed(s) for s in ("supplier-prices", "partner-products", "historical-orders", "supplier-stock")}
 
 _MESSAGES = "select *, coalesce(sha256(kafka_topic || ':' || kafka_partition || ':' || kafka_offset), lower(trim(event_id))) mid from postgres_cdc_events"
@@ -242,12 +232,9 @@ union all select o.order_id, v.customer_key from o join v on o.cid = v.customer_
     "p4_place": _satellite_sql(["region", "city"]).format(", region, city"),
     "p4_change_rates": " union all ".join(f"select '{a}' attribute, count(*) versions from ({_satellite_sql([a]).format('')})" for a in _ATTRIBUTES),
     "p5_found": f"{_TREE}{_RINGS} select cur category_id, start root_category_id, cast(d as bigint) depth from w union all select id, lo, -1 from ring",
-    "p5_paths": f"{_TREE}{_RINGS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w union all select id, lo, -1, '' from ring",
-    "p5_descendants": f"""{_TREE} z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)
-                          select cast(a as bigint) ancestor, cur descendant, cast(d - k + 1 as bigint) distance from z""",
-    "p5_all_paths": f"""{_TREE}{_RINGS}{_CHAINS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w
+    "p5_paths": f"""{_TREE}{_RINGS}{_CHAINS} select cur category_id, start root_category_id, cast(d as bigint) depth, path from w
                         union all select id, lo, -1, array_to_string(chain[list_position(chain, lo):], '/') from looped join ring using (id)""",
-    "p5_all_descendants": f"""{_TREE}{_RINGS}{_CHAINS}, z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)
+    "p5_descendants": f"""{_TREE}{_RINGS}{_CHAINS}, z as (select unnest(string_split(path, '/')) a, generate_subscripts(string_split(path, '/'), 1) k, cur, d from w)
                               select cast(a as bigint) ancestor, cur descendant, cast(d - k + 1 as bigint) distance from z
                               union all select unnest(chain), id, cast(len(chain) - generate_subscripts(chain, 1) as bigint) from looped""",
     "p6_found": f"select record_id, reason from ({_REASONS}) where reason is not null",

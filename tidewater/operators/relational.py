@@ -166,7 +166,9 @@ def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str
         return left.join(right, F.col(key) == F.col(right_key), how)
     counts = left.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
     hot = F.broadcast(counts.filter(F.col("__n") > hot_rows).select("__hot", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
-    at = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__salts")), F.lit(0)).cast("int")
+    row = F.xxhash64(*[F.col(c) for c in left.columns])
+    # null keys find nothing, so they may go anywhere
+    at = F.when(F.col(key).isNull(), F.pmod(row, F.lit(1024))).otherwise(F.coalesce(F.pmod(row, F.col("__salts")), F.lit(0))).cast("int")
     spread = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", at).drop("__hot", "__salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)).alias("__copy")
     found = right.join(hot, F.col(right_key) == F.col("__hot"), "left").select(*right.columns, copies)

@@ -44,6 +44,8 @@ from .relational import in_time_order
 BATCHES = 8
 #: Index folders that are merged into one when there are more.
 INDEX_FOLDERS = 32
+#: Most ids of a batch that are broadcast to the index instead of shuffled with it.
+BROADCAST_IDS = 10_000
 #: Partition of rows whose place nobody has told yet.
 WAITING = "__waiting__"
 
@@ -134,6 +136,7 @@ class DeliveryTable:
         if snap is None:
             return []
         ids = staged.select(F.xxhash64("mid").alias("h"))
+        ids = F.broadcast(ids) if staged.count() <= BROADCAST_IDS else ids.hint("merge")
         return sorted(r.part for r in self.index(snap).join(ids, "h", "left_semi").select("part").distinct().collect())
 
     def _index_folders(self, parent: Snapshot | None, fresh: list[str]) -> list[str]:
